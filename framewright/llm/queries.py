@@ -22,6 +22,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.quality import fit_quality, judge
+
+    docs = documents(spark, sf_dir)
+    return judge(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.mixing import mix
 
@@ -34,8 +41,15 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.toxicity import fit_toxicity, score_documents
+
+    docs = documents(spark, sf_dir)
+    return score_documents(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_packing": op2_packing, "op5_mixing": op5_mixing, "op7_token_output": op7_token_output}
+    return {"op1_sharding": op1_sharding, "op2_packing": op2_packing, "op3_quality_rules": op3_quality_rules, "op5_mixing": op5_mixing, "op7_token_output": op7_token_output, "op9_toxicity": op9_toxicity}
 
 
 _OP5 = r"""

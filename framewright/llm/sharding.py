@@ -174,16 +174,15 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, overhead: int = 16, doc_id: s
     rows = written(rows, "shard-rows")
     groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
     own, places, cuts = shard_plan(groups, n_shards)
-    key = F.col("key")
-    moved = F.lit(None).cast("long")
-    if places:
-        moved = F.create_map(*[F.lit(x).cast("long") for pair in places.items() for x in pair])[key]
-    place, tie = F.coalesce(moved, key), key
+    # at most 64 large groups a shard: a proven bound for the broadcast
+    moved = [(k, place, None) for k, place in places.items()] + [(k, None, i) for i, k in enumerate(own)]
+    moved = docs.sparkSession.createDataFrame(moved, "key long, moved long, own int")
+    rows = rows.join(F.broadcast(moved), "key", "left")
+    place, key = F.coalesce(F.col("moved"), F.col("key")), F.col("key")
     shard = F.lit(len(own))
     for first, then in cuts:
-        shard = shard + ((place > first) | ((place == first) & (tie >= then))).cast("int")
-    for i, k in enumerate(own):
-        shard = F.when(key == k, F.lit(i)).otherwise(shard)
+        shard = shard + ((place > first) | ((place == first) & (key >= then))).cast("int")
+    shard = F.coalesce(F.col("own"), shard)
     placed = rows.withColumn("shard", shard.cast("int")).withColumn("one", F.lit(1).cast("long"))
     placed = running_sum(placed, "shard", "spread", "one", ["doc_id", "key"], "slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
