@@ -29,18 +29,36 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.licences import scan_licences
+
+    return scan_licences(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.mixing import mix
 
     return mix(documents(spark, sf_dir), [3, 1, 2]).drop("source")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.wavelet import round_trip
 
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.minhash import fingerprint_with_edits
+
+    return fingerprint_with_edits(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.toxicity import fit_toxicity, score_documents
 
@@ -48,8 +66,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.suffixes import repeated_bytes
+
+    return repeated_bytes(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_packing": op2_packing, "op3_quality_rules": op3_quality_rules, "op5_mixing": op5_mixing, "op7_token_output": op7_token_output, "op9_toxicity": op9_toxicity}
+    named = (op1_sharding, op2_packing, op3_quality_rules, op4_licence_scans, op5_mixing, op6_simhash, op7_token_output, op8_fingerprints, op9_toxicity, op10_suffix_dedup)
+    return {f.__name__: f for f in named}
 
 
 _OP5 = r"""
@@ -69,4 +94,6 @@ FROM (SELECT d.*, source_size, target, epochs, budget, coalesce(sum(size) OVER (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _OP5}
+    from framewright.llm import licences
+
+    return {"op4_licence_scans": licences.oracle(), "op5_mixing": _OP5}
