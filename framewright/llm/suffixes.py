@@ -33,7 +33,7 @@ WINDOW, GRAM = 50, 16
 #: Places an anchor can have in a window.
 SPAN = WINDOW - GRAM + 1
 #: Bytes of text in a run, about, and bytes worked on at once.
-RUN_BYTES, BLOCK = 12 << 20, 1 << 20
+RUN_BYTES, BLOCK = 6 << 20, 1 << 20
 #: Bits of the anchors' hashes.
 HASH_BITS = 48
 #: Documents that slice bounds are estimated from, about: they balance slices, results don't depend on them.
