@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,7 +212,7 @@ def _send(run: _Run, repeated: np.ndarray, splits: np.ndarray) -> tuple[list[tup
     distinct, ids = rows[order[new]], run.ids[doc[order[new]]]
     note = b"".join(x.astype("<i4").tobytes() for x in (at, number)) + (run.ids[doc] > ids[number]).tobytes() if len(at) else b""
     note = np.array([len(at), len(distinct)], "<i4").tobytes() + note + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes()
-    out = []
+    out, pack = [], zstandard.ZstdCompressor(level=3)
     if len(distinct):
         head = np.ascontiguousarray(distinct[:, :8]).view(">u8").ravel()
         bounds = np.concatenate([[0], np.searchsorted(head, splits), [len(head)]])
@@ -224,12 +225,13 @@ def _send(run: _Run, repeated: np.ndarray, splits: np.ndarray) -> tuple[list[tup
             before = part[:, -1].astype(np.int64) - 1
             lefts = part[:, WINDOW + 1 : -1][np.arange(SPAN - 1) < before[:, None]]
             blob = np.array([len(part), len(tails)], "<i4").tobytes() + prefix.astype(np.uint8).tobytes() + part[:, WINDOW].tobytes() + before.astype(np.uint8).tobytes() + own.astype("<i8").tobytes() + tails.tobytes() + lefts.tobytes()
-            out.append((k, blob))
+            out.append((k, pack.compress(blob)))
     return out, note
 
 
 def _receive(blob: bytes) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes, their known prefixes, lengths right and left, ids, and left sides (nearest byte first, filled with 0)."""
+    blob = zstandard.decompress(blob)
     n, tail = np.frombuffer(blob, "<i4", 2)
     at = 8
     prefix, right, before = (np.frombuffer(blob, np.uint8, n, at + k * n) for k in range(3))
