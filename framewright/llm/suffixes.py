@@ -291,8 +291,14 @@ def _covered(run: _Run, note: bytes, found: np.ndarray) -> np.ndarray:
     return change.cumsum()[:-1] > 0
 
 
-def _kept(docs: DataFrame, rest: str, doc_id: str, text: str) -> DataFrame:
-    """rest (a struct of a row, or null), doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+def _whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, and the other bytes of each character that it cuts apart."""
+    character = ((text & 0xC0) != 0x80).cumsum()
+    return (np.bincount(character[gone], minlength=int(character[-1]) + 1) > 0)[character]
+
+
+def _kept(docs: DataFrame, rest: str, doc_id: str, text: str, characters: bool = False) -> DataFrame:
+    """rest (a struct of a row, or null), doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; with characters, only whole ones)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"), F.expr(rest).alias("__row"))
     size, n_docs = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)), F.count(F.lit(1))).first()
@@ -381,7 +387,10 @@ def _kept(docs: DataFrame, rest: str, doc_id: str, text: str) -> DataFrame:
             many = int(own.sum())
             removed.append(many)
             spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if many else 0)
-            kept.append(np.frombuffer(t, np.uint8)[~own].tobytes() if many else t)
+            if many:
+                raw = np.frombuffer(t, np.uint8)
+                t = raw[~(_whole_characters(raw, own) if characters else own)].tobytes()
+            kept.append(t)
         ordered = table.take(pa.array(run.order, pa.int64()))
         return pa.table({"__row": ordered.column("__row"), "doc_id": ordered.column("__id"), "n_bytes": pa.array(run.lengths), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
@@ -403,8 +412,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     character that is cut apart go with it. A null text stays null."""
     names = docs.columns
     row = "struct(" + ", ".join(f"`{c}`" for c in names if c != "text") + ", text is null as __null)"
-    out = _kept(docs, row, "doc_id", "text")
-    kept = F.when(F.col("__row.__null"), F.lit(None).cast("string")).otherwise(F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", "")).otherwise(F.col("kept").cast("string")))
+    out = _kept(docs, row, "doc_id", "text", characters=True)
+    kept = F.when(F.col("__row.__null"), F.lit(None).cast("string")).otherwise(F.col("kept").cast("string"))
     out = out.withColumn("__text", kept)
     return out.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c in names])
 

@@ -83,3 +83,9 @@ def test_loser_tree(runs):
     merged = [next(heads[k]) for k in order]
     assert merged == sorted(x for r in runs for x in r)
     assert prefixes == [common(merged[i], merged[i - 1]) if i else 0 for i in range(len(merged))]
+
+
+def test_characters_that_a_repeat_cuts_apart_go_whole(table):
+    passage = " plus a passage of more than fifty bytes that both documents share, word for word"
+    docs = table([(1, "begin é" + passage, "a"), (2, "other ũ" + passage + " end�", "a")])
+    assert [r.text for r in without_repeats(docs).orderBy("doc_id").collect()] == ["begin é" + passage, "other  end�"]
