@@ -100,7 +100,8 @@ def fingerprint_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rows = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("kid"), F.xxhash64("text").alias("h"), "doc_id", "text", F.length("text").cast("long").alias("n_chars"))
     order = written(_successors(rows.select("kid", "h", "n_chars").distinct()), "minhash-next")
     rows = rows.withColumn("fingerprint", order_minhash(F.col("text"))).repartition("kid", "h")
-    once = rows.withColumn("copy", F.row_number().over(Window.partitionBy("kid", "h").orderBy("n_chars"))).where("copy = 1")
+    # the order names all columns, so that both sides of the join below read one and the same exchange
+    once = rows.withColumn("copy", F.row_number().over(Window.partitionBy("kid", "h").orderBy("n_chars", "doc_id"))).where("copy = 1")
     once = once.select(F.col("kid").alias("next_kid"), F.col("h").alias("next_h"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     nexts = once.join(order, ["next_kid", "next_h"]).select("kid", "h", F.substr("next_text", F.lit(1), third).alias("start"), "next_fingerprint")
