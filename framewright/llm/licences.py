@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each normalised to lower-case ASCII letters and digits with single spaces. Known
-sentences have identifiers (a letter each). A document's identifiers, in order, with a bar where more than GAP other
+sentences have identifiers (a letter each). A line break ends a sentence, yet following lines that make a known
+sentence when joined, the longest first, are that sentence: licence texts are often wrapped, or stand behind comment marks. A document's identifiers, in order, with a bar where more than GAP other
 sentences stand between two, are matched against the rules in their order: longer sequences first, and what a rule matched is used up.
 """
 
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import let
 
-#: Ends of sentences.
-END = r"[.!?;]+[\x20\x09-\x0D]+|\n+"
+#: Ends of sentences; the first of them also ends what lines may be joined.
+STOP = r"[.!?;]+[\x20\x09-\x0D]+"
+#: A comment mark that looks like one.
+MARK = r"\n[\x20\x09]*;+(?=[\x20\x09-\x0D])"
+END = STOP + r"|\n+"
 #: Other sentences that may stand between two of one licence.
 GAP = 2
 #: Normalised sentences of public licences and notices, with their identifiers.
@@ -50,18 +54,29 @@ RULES = [
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A known sentence on lines of its own, however wrapped; longer ones first. No normalised line has a dot.
+_KNOWN = "(?m)^(?:" + "|".join(s.replace(" ", "[ \\n]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")$"
+
+
 def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, without empty ones."""
+    """The normalised sentences of a text, without empty ones; a dot where lines before and after can't be joined."""
     plain = lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))
-    return F.filter(F.transform(F.split(text, END), plain), lambda s: s != "")
+    lines = lambda p: F.filter(F.transform(F.split(p, r"\n+"), plain), lambda s: s != "")
+    return F.flatten(F.transform(F.split(F.regexp_replace(text, MARK, "\n"), STOP), lambda p: F.concat(lines(p), F.array(F.lit(".")))))
 
 
 def sequence(found: Column) -> Column:
-    """found: sentences. The known ones' identifiers in order, with bars at wide gaps."""
+    """found: sentences. The known ones' identifiers in order, with bars at wide gaps (of other sentences, or other lines)."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
-    hits = F.filter(F.transform(found, lambda s, i: F.struct(known[s].alias("id"), i.alias("at"))), lambda h: h["id"].isNotNull())
-    marked = lambda a: F.transform(a, lambda h, i: F.concat(F.when((i > 0) & (h["at"] - F.get(a, i - 1)["at"] > GAP + 1), "|").otherwise(""), h["id"]))
-    return F.array_join(let(hits, marked), "")
+    between = lambda s: F.size(F.filter(F.split(s, "\n"), lambda x: (x != "") & (x != ".")))
+
+    def marked(whole):
+        gaps = F.split(whole, _KNOWN)
+        one = lambda h, i: F.concat(F.when((i > 0) & (between(F.get(gaps, i)) > GAP), "|").otherwise(""), known[F.translate(h, "\n", " ")])
+        hits = F.regexp_extract_all(whole, F.lit(_KNOWN), F.lit(0))
+        return F.when(F.rlike(whole, F.lit(_KNOWN)), F.array_join(F.transform(hits, one), "")).otherwise("")
+
+    return let(F.array_join(found, "\n"), marked)
 
 
 def matched(sequence: Column) -> Column:
@@ -77,7 +92,7 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     A null or empty text has no sentences. Repeated rows have equal results. Other columns aren't read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), let(sentences(F.coalesce(F.col(text), F.lit(""))), lambda s: F.struct(F.size(s).cast("long").alias("n"), sequence(s).alias("ids"))).alias("found"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), let(sentences(F.coalesce(F.col(text), F.lit(""))), lambda s: F.struct(F.size(F.filter(s, lambda x: x != ".")).cast("long").alias("n"), sequence(s).alias("ids"))).alias("found"))
     return rows.select("doc_id", F.col("found.n").alias("n_sentences"), F.col("found.ids").alias("sentence_ids"), F.when(F.col("found.ids") == "", "").otherwise(matched(F.col("found.ids"))).alias("licences"))
 
 
