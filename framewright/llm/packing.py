@@ -152,7 +152,7 @@ def pack_documents(
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for key, found in zip(ids, encode.ids(x.as_py() or "" for x in texts)):
+            for key, found in zip(ids, encode.ids(texts)):
                 packer.add((key, found + end, len(found) // 4 + 1))
                 waiting += len(found) // 4 + 1
                 if waiting >= block_tokens:

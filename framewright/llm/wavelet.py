@@ -42,12 +42,13 @@ class WaveletMatrix:
         here = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for bit in range(bits - 1, -1, -1):
-            ones = (here >> bit & 1).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little").tobytes())
-            padded = np.zeros(-(-len(ones) // BLOCK) * BLOCK, np.uint8)
-            padded[: len(ones)] = ones
-            counts = np.zeros(len(padded) // BLOCK + 1, "<u4")
-            np.cumsum(padded.reshape(-1, BLOCK).sum(1), out=counts[1:])
+            ones = (here & here.dtype.type(1 << bit)) != 0
+            packed = np.packbits(ones, bitorder="little")
+            planes.append(packed.tobytes())
+            padded = np.zeros(-(-len(ones) // BLOCK) * BLOCK // 8, np.uint8)
+            padded[: len(packed)] = packed
+            counts = np.zeros(len(padded) * 8 // BLOCK + 1, "<u4")
+            np.cumsum(np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1), out=counts[1:])
             ranks.append(counts.tobytes())
             zeros.append(len(ones) - int(counts[-1]))
             here = np.concatenate([here[~ones], here[ones]])
@@ -143,7 +144,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, bits: int = 1
             return pa.RecordBatch.from_pylist([row], schema=ROW)
 
         for batch in batches:
-            for key, found in zip(batch.column(0).to_pylist(), ids_of.ids(x.as_py() or "" for x in batch.column(1))):
+            for key, found in zip(batch.column(0).to_pylist(), ids_of.ids(batch.column(1))):
                 keys.append(key)
                 held.append(found + end)
                 size += len(found) // 4 + 1
@@ -190,15 +191,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def find_token(spark: SparkSession, path: str, token: int, limit: int = 10) -> DataFrame:
-    """A row a shard that has the token: part, chunk, count, and places (in the shard) of its first occurrences, at most limit."""
+def find_token(spark: SparkSession, path: str, token: int, limit: int | None = None) -> DataFrame:
+    """A row a shard that has the token: part, chunk, count, and the places (in the shard) of its occurrences, or of the first limit of them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 m = WaveletMatrix(row["n_tokens"], row["zeros"], row["planes"], row["ranks"])
                 if count := m.rank(token, m.n):
-                    found = {"part": row["part"], "chunk": row["chunk"], "count": count, "places": [m.select(token, k) for k in range(min(count, limit))]}
+                    found = {"part": row["part"], "chunk": row["chunk"], "count": count, "places": [m.select(token, k) for k in range(count if limit is None else min(count, limit))]}
                     yield pa.RecordBatch.from_pylist([found], schema=pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("count", pa.int64()), ("places", pa.list_(pa.int64()))]))
 
     return _shards(spark, path).mapInArrow(find, "part int, chunk int, count long, places array<long>")
