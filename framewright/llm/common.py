@@ -16,17 +16,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_local: list[str] = []
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, spark.checkpoint.dir; where it is unset (tests), a local one."""
+    """The folder that all executors share, spark.checkpoint.dir; where it is unset on a local master (tests), one of this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="framewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="framewright-"))
+    return _local[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def fresh_table(name: str) -> str:
+    """A name for a table of the catalog; where its files lie is a fresh_path."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _made.append(table)
+    return table
+
+
+def made() -> int:
+    """How many intermediate tables the operators have made and not removed."""
+    return len(_made)
+
+
+def remove_made(spark: SparkSession, before: int, since: int = 0) -> None:
+    """Removes intermediate tables, those from number since to number before: for callers that have written what depends on them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made[since:before]:
+        if "/" in path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {path}")
+    del _made[since:before]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +69,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a join deals to one task.
+HOT_ROWS = 1 << 20
+
+
+def hot_keys(rows: DataFrame, key: str, n: int) -> DataFrame | None:
+    """The keys of more than HOT_ROWS of the n rows, with the number of parts that spread_join deals them to; None without any.
+    They are at most n / HOT_ROWS narrow rows: a proven bound for a broadcast."""
+    if n <= HOT_ROWS:
+        return None
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
+    found = written(found.select(key, F.ceil(F.col("__n") / HOT_ROWS).cast("int").alias("__parts")), "hot-keys")
+    return None if found.isEmpty() else found
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with table (a row a key). Rows of hot keys are dealt by a hash of another column, and the key's row is copied to each part."""
+    if hot is None:
+        return rows.join(table, key, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    copies = table.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
+
+
+def one_row_each(docs: DataFrame, rows: DataFrame, chosen: DataFrame, numbered) -> DataFrame:
+    """The rows of docs that are chosen, one a group. rows: doc_id and number of each row of docs; chosen: doc_id and number, one a group.
+
+    A row is known by its id where no other has it. Rows of repeated (or null) ids are known by id and number: numbered(docs) adds the column
+    __number to those few, and of rows that are equal in both one stays.
+    """
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["__id"])
+    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times")).withColumnRenamed("doc_id", "__id")
+    chosen = written(chosen.join(times, same(chosen, times)).select("__id", F.col("number").alias("__number"), "__times"), "chosen-rows")
+    single, several = chosen.where("__times = 1").select("__id"), chosen.where("__times > 1").select("__id", "__number")
+    out = docs.join(single, same(docs, single), "left_semi")
+    if several.isEmpty():
+        return out
+    ids = several.select("__id").distinct()
+    again = numbered(docs.join(ids, same(docs, ids), "left_semi"))
+    again = again.join(several, same(again, several) & (again["__number"] == several["__number"]), "left_semi").dropDuplicates(["doc_id", "__number"])
+    return out.unionByName(again.drop("__number"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often the body reads it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,10 +1,10 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint is seen as three parts; of two fingerprints that differ in at most four bits, some part differs in at most one.
-A part's anchors are the words of a covering code: perfect (15, 11) Hamming words (covering radius 1) with the
+A 64-bit fingerprint is seen as parts, chosen so that of two fingerprints that differ in at most four bits, some part differs in at most one.
+A part's anchors are the words of a covering code: perfect Hamming words (covering radius 1) with the
 part's other bits as they are (radius 0). A part's home is the anchor that it decodes to. A fingerprint
 is sent to its home, and to each anchor within covering radius plus threshold that can be the home of a part one bit away:
-about 13 of 2^17 anchors. So two linked fingerprints meet at an anchor, the one at home and the other visiting.
+about 13 of 2^17 anchors (or 17 of 2^26, for corpora of many fingerprints). So two linked fingerprints meet at an anchor, the one at home and the other visiting.
 
 Only distinct fingerprints are sent, so copies cost nothing. Homes at an anchor are compared with its visitors
 as they stream by; an anchor with very many homes is divided over tasks. A task reports the forest of the links that it found, not all pairs.
@@ -13,56 +13,68 @@ as they stream by; an anchor with very many homes is divided over tasks. A task
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import written
+from framewright.llm.common import hot_keys, spread_join, written
 
 THRESHOLD = 4
-#: Lowest bit and width of each part; the Hamming word is its lowest 15 bits.
-PARTS = ((0, 21), (21, 21), (42, 22))
 #: Homes of one anchor that one task holds; more are divided.
 HOMES = 2048
 #: Pairs compared at once.
 CHUNK = 1 << 20
 
 
-def _hamming_anchors() -> np.ndarray:
-    """For each 15-bit word, its codeword first, then those that its 15 neighbours decode to (repeated to fill)."""
-    words = np.arange(1 << 15)
-    syndrome = np.zeros(1 << 15, np.int64)
-    for bit in range(15):
-        syndrome ^= np.where(words >> bit & 1, bit + 1, 0)
-    decoded = np.where(syndrome > 0, words ^ (1 << np.maximum(syndrome - 1, 0)), words)
-    reached = np.stack([decoded, *(decoded[words ^ (1 << bit)] for bit in range(15))], 1)
-    rest = np.sort(np.where(reached == decoded[:, None], -1, reached), 1)
-    rest[:, 1:][rest[:, 1:] == rest[:, :-1]] = -1
-    rest = -np.sort(-rest, 1)[:, :7]
-    return np.concatenate([decoded[:, None], np.where(rest < 0, decoded[:, None], rest)], 1)
+@dataclass(frozen=True)
+class Cover:
+    """Parts of a fingerprint, each some blocks of its bits (lowest bit, width), low ones first; word: bits that the Hamming word has."""
 
+    parts: tuple[tuple[tuple[int, int], ...], ...]
+    word: int
 
-_ANCHORS = _hamming_anchors()
 
+#: Three parts of 21 or 22 bits: 2^17 anchors or more a part, about 14 sends of a fingerprint to each.
+NARROW = Cover((((0, 21),), ((21, 21),), ((42, 22),)), 15)
+_SIX = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Six blocks, in threes: four differing bits leave two blocks untouched and a third with at most one of them in some of these. 2^26 anchors or more a part.
+WIDE = Cover(tuple(tuple(_SIX[k] for k in three) for three in ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))), 31)
+#: Distinct fingerprints from which on the wide cover is used, so that an anchor has few homes at any size: links are the same with either.
+MANY = 1 << 25
 
-def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def anchors(fingerprints: np.ndarray, cover: Cover = NARROW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, index of the fingerprint, 1 at home): a row for each home, and one for each anchor visited, the own one included."""
     prints = fingerprints.view(np.uint64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     index = np.arange(len(prints))
-    for k, (low, width) in enumerate(PARTS):
-        part = (prints >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-        word, raw, tag = part & 0x7FFF, part & ~0x7FFF, k << 40
-        near = _ANCHORS[word]
-        home = tag | raw | near[:, 0]
-        out += [(home, index, np.ones(len(prints), np.int8)), (home, index, np.zeros(len(prints), np.int8))]
-        for j in range(1, near.shape[1]):
-            other = near[:, j] != near[:, 0]
-            out.append(((tag | raw | near[:, j])[other], index[other], np.zeros(int(other.sum()), np.int8)))
-        for bit in range(15, width):
-            out.append((home ^ (1 << bit), index, np.zeros(len(prints), np.int8)))
+
+    def add(anchor: np.ndarray, who: np.ndarray, home: int) -> None:
+        out.append((anchor, who, np.full(len(who), home, np.int8)))
+
+    for k, blocks in enumerate(cover.parts):
+        part, width = np.zeros(len(prints), np.int64), 0
+        for low, size in blocks:
+            part |= (prints >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64) << width
+            width += size
+        # positions count from 1; a word's syndrome is the position of the bit that is off from its codeword, 0 for none
+        syndrome = np.zeros(len(prints), np.int64)
+        for bit in range(cover.word):
+            syndrome ^= (part >> bit & 1) * (bit + 1)
+        at = part | k << 40
+        home = np.where(syndrome > 0, at ^ 1 << np.maximum(syndrome - 1, 0), at)
+        add(home, index, 1)
+        add(home, index, 0)
+        # codewords of the words one bit away: two flips whose positions have the syndrome as their difference
+        for first in range(1, cover.word + 1):
+            second = syndrome ^ first
+            near = np.flatnonzero((syndrome > 0) & (second > first))
+            add(at[near] ^ 1 << first - 1 ^ 1 << second[near] - 1, index[near], 0)
+        for bit in range(cover.word, width):
+            add(home ^ 1 << bit, index, 0)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -113,8 +125,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, "doc_id long, fp long")
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, cover: Cover | None = None) -> DataFrame:
     """prints: fp, distinct. (fp, other): links that join all fingerprints joined by chains of THRESHOLD bits or fewer."""
+    cover = cover or (WIDE if prints.count() >= MANY else NARROW)
 
     def send(only_homes: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +135,7 @@ def links(prints: DataFrame) -> DataFrame:
                 values = batch.column(0).to_numpy()
                 for begin in range(0, len(values), 8192):
                     own = values[begin : begin + 8192]
-                    anchor, index, home = anchors(own)
+                    anchor, index, home = anchors(own, cover)
                     if only_homes:
                         anchor, index, home = anchor[home == 1], index[home == 1], home[home == 1]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own[index]), pa.array(home)], names=["anchor", "fp", "home"])
@@ -174,21 +187,26 @@ def links(prints: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node of each node's component, for the nodes of the edges.
 
-    Each round takes the smallest label among a node and its neighbours, then the label of that label, so paths shorten by
-    half or better; rounds are tables in the shared folder, and end when no label changes.
+    Each round gives a node, and the node that is its label, the smallest label among its neighbours, and then each node its label's label:
+    trees hang on one another and get flat, so long chains end in few rounds too. Rounds are tables in the shared folder, and end when no
+    label changes. A node of very many edges, or a label of very many nodes, is dealt over tasks.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("near")).union(edges.select(F.col(b), F.col(a))).distinct()
     both = written(both, "components-edges")
     labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "components-labels")
+    n_nodes = labels.count()
+    hubs = hot_keys(both, "near", both.count())
     while True:
-        seen = both.join(labels.select(F.col("node").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("low"))
-        lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("onward"))
-        lower = lower.join(jump, "label").select("node", "was", F.least("label", "onward").alias("label"))
-        lower = written(lower, "components-labels")
-        changed = lower.where("label <> was").limit(1).count()
-        labels = lower.select("node", "label")
-        if not changed:
+        seen = spread_join(both, labels.select(F.col("node").alias("near"), "label"), "near", "node", hubs)
+        lower = labels.join(seen.groupBy("node").agg(F.min("label").alias("low")), "node")
+        hook = lower.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
+        lower = lower.join(hook, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "low", "hook").alias("label"))
+        lower = written(lower, "components-hooked")
+        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("onward"))
+        flat = spread_join(lower, jump, "label", "node", hot_keys(lower, "label", n_nodes)).select("node", "was", F.least("label", "onward").alias("label"))
+        flat = written(flat, "components-labels")
+        labels = flat.select("node", "label")
+        if flat.where("label <> was").isEmpty():
             return labels
 
 
@@ -202,15 +220,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = written(links(prints.select("fp")), "simhash-links")
     labels = components(found, "fp", "other").withColumnRenamed("node", "fp")
-    joined = labels.join(prints, "fp")
+    joined = written(labels.join(prints, "fp"), "simhash-labels")
     lowest = joined.groupBy("label").agg(F.min("first").alias("lowest"))
-    joined = joined.join(lowest, "label").select("fp", "lowest")
+    joined = spread_join(joined, lowest, "label", "fp", hot_keys(joined, "label", joined.count())).select("fp", "lowest")
     ids = written(prints.join(joined, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "simhash-components")
-    out = rows.join(ids, "fp")
+    out = spread_join(rows, ids, "fp", "doc_id", hot_keys(rows, "fp", rows.count()))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id (rows of a repeated id stay together); columns as docs has them."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

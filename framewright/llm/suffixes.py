@@ -13,13 +13,15 @@ The corpus is divided by a hash of the id into runs of bounded size, kept togeth
    never compares known prefixes again. The merged common prefixes give classes of equal right sides at each length, those of the sorted
    left sides likewise; windows equal on both sides are equal, and those with a smaller id elsewhere are reported to their runs.
 4. Each run removes what its reported windows cover.
-A string in a third of all documents is one suffix a run from step 2 on.
+A string in a third of all documents is one suffix a run from step 2 on. An anchor string that takes up several slices with its many
+continuations is divided: its windows go, each with its offset, to slices by a hash of the window, and are compared as they are.
+
+A run reports to parts, each of several hash ranges or slices, which a part's task works on one after the other: rows of an exchange are runs times parts.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fresh_path, written
+from framewright.llm.common import fresh_path, fresh_table, written
 
 WINDOW, GRAM = 50, 16
 #: Places an anchor can have in a window.
@@ -37,8 +39,12 @@ SPAN = WINDOW - GRAM + 1
 RUN_BYTES, BLOCK = 6 << 20, 1 << 20
 #: Bits of the anchors' hashes.
 HASH_BITS = 48
-#: Documents that slice bounds are estimated from, about: they balance slices, results don't depend on them.
+#: Documents that slice bounds are estimated from, at least, and one a run: they balance slices, results don't depend on them.
 SPLIT_DOCS = 2000
+#: Hash ranges or slices of a part, at most; there are at least so many parts before a part has several.
+RANGES, PARTS = 8, 256
+#: Slices that an anchor string takes up before it is divided.
+HOT_SLICES = 4
 _NO_ID = np.iinfo(np.int64).max
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -193,8 +199,30 @@ def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) - np.repeat(total[:-1] - begin, length)
 
 
-def _send(run: _Run, repeated: np.ndarray, splits: np.ndarray) -> tuple[list[tuple[int, bytes]], bytes]:
-    """A run's front-coded suffixes by slice, and its own note of which anchor has which suffix."""
+def _range_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n ranges of hashes each is in."""
+    if n <= 1 << 15:
+        return (hashes * np.uint64(n) >> np.uint64(HASH_BITS)).astype(np.int64)
+    return ((hashes >> np.uint64(24)) * np.uint64(n) >> np.uint64(HASH_BITS - 24)).astype(np.int64)
+
+
+def _bundle(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([a.nbytes for a in arrays], "<i8").tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def _unbundle(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(data, "<i8", len(kinds)).tolist(), 8 * len(kinds), []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+_NOTE = ("<i4", "<i4", "u1", "u1", "u1", "u1", "<i4", "u1")
+
+
+def _send(run: _Run, repeated: np.ndarray, splits: np.ndarray, hot: np.ndarray, n_slices: int) -> tuple[list[tuple[int, bytes]], bytes]:
+    """A run's front-coded suffixes by slice (those of hot anchors as windows, by slices from n_slices on), and its own note of which anchor has which suffix."""
     chosen = np.flatnonzero(repeated)
     at, first, last, doc = run.at[chosen], run.first[chosen], run.last[chosen], run.doc[chosen]
     right, left = last + WINDOW - at, at - first
@@ -210,25 +238,64 @@ def _send(run: _Run, repeated: np.ndarray, splits: np.ndarray) -> tuple[list[tup
     number = np.zeros(len(at), np.int64)
     number[order] = new.cumsum() - 1
     distinct, ids = rows[order[new]], run.ids[doc[order[new]]]
-    note = b"".join(x.astype("<i4").tobytes() for x in (at, number)) + (run.ids[doc] > ids[number]).tobytes() if len(at) else b""
-    note = np.array([len(at), len(distinct)], "<i4").tobytes() + note + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes()
+    head = np.ascontiguousarray(distinct[:, :GRAM]).view(f"S{GRAM}").ravel()
+    divided = np.isin(head, hot) if len(hot) else np.zeros(len(head), bool)
     out, pack = [], zstandard.ZstdCompressor(level=3)
-    if len(distinct):
-        head = np.ascontiguousarray(distinct[:, :8]).view(">u8").ravel()
-        bounds = np.concatenate([[0], np.searchsorted(head, splits), [len(head)]])
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            part, own = distinct[bounds[k] : bounds[k + 1]], ids[bounds[k] : bounds[k + 1]]
-            size = part[:, WINDOW].astype(np.int64)
-            prefix = np.minimum(_prefixes(part[:, :WINDOW]), np.minimum(size, np.concatenate([[0], size[:-1]])))
-            columns = np.arange(WINDOW)
-            tails = part[:, :WINDOW][(columns >= prefix[:, None]) & (columns < size[:, None])]
-            before = part[:, -1].astype(np.int64) - 1
-            lefts = part[:, WINDOW + 1 : -1][np.arange(SPAN - 1) < before[:, None]]
-            blob = np.array([len(part), len(tails)], "<i4").tobytes() + prefix.astype(np.uint8).tobytes() + part[:, WINDOW].tobytes() + before.astype(np.uint8).tobytes() + own.astype("<i8").tobytes() + tails.tobytes() + lefts.tobytes()
-            out.append((k, pack.compress(blob)))
+    cold, cold_ids, head = distinct[~divided], ids[~divided], head[~divided]
+    bounds = np.concatenate([[0], np.searchsorted(head, splits), [len(head)]])
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        part, own = cold[bounds[k] : bounds[k + 1]], cold_ids[bounds[k] : bounds[k + 1]]
+        size = part[:, WINDOW].astype(np.int64)
+        prefix = np.minimum(_prefixes(part[:, :WINDOW]), np.minimum(size, np.concatenate([[0], size[:-1]])))
+        columns = np.arange(WINDOW)
+        tails = part[:, :WINDOW][(columns >= prefix[:, None]) & (columns < size[:, None])]
+        before = part[:, -1].astype(np.int64) - 1
+        lefts = part[:, WINDOW + 1 : -1][np.arange(SPAN - 1) < before[:, None]]
+        blob = np.array([len(part), len(tails)], "<i4").tobytes() + prefix.astype(np.uint8).tobytes() + part[:, WINDOW].tobytes() + before.astype(np.uint8).tobytes() + own.astype("<i8").tobytes() + tails.tobytes() + lefts.tobytes()
+        out.append((k, pack.compress(blob)))
+    who, offsets, windows = _windows(distinct, np.flatnonzero(divided))
+    spot = n_slices + (_window_hashes(windows) % np.uint64(n_slices)).astype(np.int64)
+    order = np.argsort(spot, kind="stable")
+    who, offsets, windows, spot = who[order], offsets[order], windows[order], spot[order]
+    bounds = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1], [True]])) if len(spot) else np.zeros(1, np.int64)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        out.append((int(spot[a]), pack.compress(_bundle(windows[a:b], ids[who[a:b]].astype("<i8")))))
+    note = _bundle(at.astype("<i4"), number.astype("<i4"), (run.ids[doc] > ids[number]).astype("u1"), left.astype("u1"), right.astype("u1"), divided.astype("u1"), who.astype("<i4"), offsets.astype("u1"))
     return out, note
 
 
+def _windows(distinct: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the chosen suffixes: the suffix, the anchor's offset in the window, and the window's bytes."""
+    who, offsets, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, WINDOW), np.uint8)]
+    right, before = distinct[:, WINDOW].astype(np.int64), distinct[:, -1].astype(np.int64) - 1
+    for offset in range(SPAN):
+        own = chosen[(before[chosen] >= offset) & (right[chosen] >= WINDOW - offset)]
+        who.append(own)
+        offsets.append(np.full(len(own), offset))
+        windows.append(np.concatenate([distinct[own, WINDOW + 1 : WINDOW + 1 + offset][:, ::-1], distinct[own, : WINDOW - offset]], 1))
+    return np.concatenate(who), np.concatenate(offsets), np.ascontiguousarray(np.concatenate(windows))
+
+
+def _window_hashes(windows: np.ndarray) -> np.ndarray:
+    h = np.full(len(windows), 7, np.uint64)
+    for k in range(windows.shape[1]):
+        h = (h + windows[:, k] + np.uint64(1)) * _MIX[0]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _compare_windows(blobs: list[bytes]) -> list[np.ndarray]:
+    """For each run's windows of a slice: whether the same one has a smaller id elsewhere."""
+    parts = [_unbundle(zstandard.decompress(b), "u1", "<i8") for b in blobs]
+    windows = np.concatenate([w for w, _ in parts]).reshape(-1, WINDOW)
+    ids, ends = np.concatenate([i for _, i in parts]), np.cumsum([len(i) for _, i in parts])
+    keys = windows.view(f"V{WINDOW}").ravel()
+    _, same = np.unique(keys, return_inverse=True)
+    least = np.full(int(same.max(initial=-1)) + 1, _NO_ID)
+    np.minimum.at(least, same, ids)
+    return np.split((ids > least[same]).astype(np.uint64), ends[:-1])
+
+
 def _receive(blob: bytes) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes, their known prefixes, lengths right and left, ids, and left sides (nearest byte first, filled with 0)."""
     blob = zstandard.decompress(blob)
@@ -277,17 +344,20 @@ def _compare(blobs: list[bytes]) -> list[np.ndarray]:
     return [found[a:b] for a, b in zip(begins[:-1], begins[1:])]
 
 
-def _covered(run: _Run, note: bytes, found: np.ndarray) -> np.ndarray:
+def _covered(run: _Run, note: bytes, by_slice: dict[int, np.ndarray], n_slices: int) -> np.ndarray:
     """A mask over the run's bytes."""
-    n, _ = np.frombuffer(note, "<i4", 2)
-    at, number = np.frombuffer(note, "<i4", n, 8).astype(np.int64), np.frombuffer(note, "<i4", n, 8 + 4 * n)
-    later, left, right = (np.frombuffer(note, np.uint8, n, 8 + 8 * n + k * n) for k in range(3))
     change = np.zeros(int(run.lengths.sum()) + 1, np.int32)
-    bits = found[number]
-    for offset in range(SPAN):
-        hit = (left >= offset) & (right >= WINDOW - offset) & ((bits >> np.uint64(offset) & np.uint64(1) > 0) | (later > 0))
-        np.add.at(change, at[hit] - offset, 1)
-        np.add.at(change, at[hit] - offset + WINDOW, -1)
+    if note:
+        at, number, later, left, right, divided, who, offsets = _unbundle(note, *_NOTE)
+        bits = np.zeros(len(divided), np.uint64)
+        bits[divided == 0] = np.concatenate([np.zeros(0, np.uint64), *(by_slice[k] for k in sorted(by_slice) if k < n_slices)])
+        hit = np.concatenate([np.zeros(0, np.uint64), *(by_slice[k] for k in sorted(by_slice) if k >= n_slices)])
+        np.bitwise_or.at(bits, who, hit << offsets.astype(np.uint64))
+        at, bits = at.astype(np.int64), bits[number]
+        for offset in range(SPAN):
+            gone = (left >= offset) & (right >= WINDOW - offset) & ((bits >> np.uint64(offset) & np.uint64(1) > 0) | (later > 0))
+            np.add.at(change, at[gone] - offset, 1)
+            np.add.at(change, at[gone] - offset + WINDOW, -1)
     return change.cumsum()[:-1] > 0
 
 
@@ -305,7 +375,8 @@ def _kept(docs: DataFrame, rest: str, doc_id: str, text: str, characters: bool =
     n_runs = max(1, math.ceil(size / RUN_BYTES))
     # one file a bucket; a run is never split, and needs no further shuffle
     buckets = min(n_runs, 50_000)
-    name, path = f"suffix_runs_{uuid.uuid4().hex}", fresh_path(spark, "suffix-runs")
+    name, path = fresh_table("suffix_runs"), fresh_path(spark, "suffix-runs")
+    ranges = max(1, min(RANGES, n_runs // PARTS))
     rows = rows.withColumn("__run", F.pmod(F.xxhash64("__id", F.octet_length("__text")), F.lit(n_runs)).cast("int"))
     rows.repartition(buckets, "__run").write.bucketBy(buckets, "__run").option("path", path).saveAsTable(name)
     rows = spark.table(name)
@@ -321,7 +392,7 @@ def _kept(docs: DataFrame, rest: str, doc_id: str, text: str, characters: bool =
             begin = np.flatnonzero(new)
             several = own[begin] < own[np.concatenate([begin[1:], [len(own)]]) - 1]
         distinct = value[new]
-        part = (distinct.astype(object) * n_runs >> HASH_BITS).astype(np.int64) if n_runs > 1 << 15 else (distinct * np.uint64(n_runs) >> np.uint64(HASH_BITS)).astype(np.int64)
+        part = _range_of(distinct, n_runs) // ranges
         bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(0, np.int64)
         pairs = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         return pa.table({
@@ -331,13 +402,18 @@ def _kept(docs: DataFrame, rest: str, doc_id: str, text: str, characters: bool =
 
     def shared(table: pa.Table) -> pa.Table:
         values = [_unpack_sorted(x) for x in table.column("hashes").to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)) for x, v in zip(table.column("several").to_pylist(), values)])
-        _, number, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-        more = count > 1
-        more[number[several > 0]] = True
-        bounds = np.cumsum([0, *map(len, values)])
-        masks = [np.packbits(more[number[a:b]]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        return pa.table({"run": table.column("run"), "part": table.column("part"), "n": pa.array(np.diff(bounds), pa.int32()), "mask": pa.array(masks, pa.binary())})
+        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)) for x, v in zip(table.column("several").to_pylist(), values)]
+        begins = [_range_of(v, n_runs) for v in values]
+        masks = [np.zeros(len(v), bool) for v in values]
+        for k in range(min(int(b[0]) for b in begins), max(int(b[-1]) for b in begins) + 1):
+            cuts = [slice(*np.searchsorted(b, [k, k + 1]).tolist()) for b in begins]
+            _, number, count = np.unique(np.concatenate([v[c] for v, c in zip(values, cuts)]), return_inverse=True, return_counts=True)
+            more = count > 1
+            more[number[np.concatenate([x[c] for x, c in zip(several, cuts)]) > 0]] = True
+            ends = np.cumsum([c.stop - c.start for c in cuts])
+            for mask, cut, found in zip(masks, cuts, np.split(more[number], ends[:-1])):
+                mask[cut] = found
+        return pa.table({"run": table.column("run"), "part": table.column("part"), "n": pa.array([len(v) for v in values], pa.int32()), "mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
 
     hashed = texts.groupBy("__run").applyInArrow(hashes, "part int, run int, hashes binary, several binary")
     masks = written(hashed.groupBy("part").applyInArrow(shared, "run int, part int, n int, mask binary"), "suffix-masks")
@@ -345,41 +421,61 @@ def _kept(docs: DataFrame, rest: str, doc_id: str, text: str, characters: bool =
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(0)]
-            found = [int.from_bytes(t[k : k + 8]) >> 1 for t in whole for k in range(0, len(t) - WINDOW, 1 + len(t) // 32)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["head"])
-
-    some = docs.sample(fraction=min(1.0, SPLIT_DOCS / max(1, n_docs)), seed=11).select(F.col(text))
-    heads = np.sort(some.mapInArrow(prefixes, "head long").toPandas()["head"].to_numpy(np.int64)).astype(np.uint64) << np.uint64(1)
-    splits = heads[np.linspace(0, len(heads), n_runs + 1)[1:-1].astype(int)] if len(heads) else np.zeros(0, np.uint64)
+            found = [t[k : k + GRAM] for t in whole for k in range(0, len(t) - WINDOW, 1 + len(t) // 32)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["head"])
+
+    # equal windows have GRAM bytes from their anchor on in common, so bounds of so many bytes keep them in one slice
+    some = docs.sample(fraction=min(1.0, max(SPLIT_DOCS, n_runs) / max(1, n_docs)), seed=11).select(F.col(text))
+    heads = np.sort(np.array(some.mapInArrow(prefixes, "head binary").toPandas()["head"].map(bytes).tolist(), f"S{GRAM}"))
+    splits = heads[np.linspace(0, len(heads), n_runs + 1)[1:-1].astype(int)] if len(heads) else heads
+    grams, times = np.unique(splits, return_counts=True)
+    hot, splits = grams[times >= HOT_SLICES], grams
+    data_schema = "run int, part int, slices array<int>, data array<binary>"
+
+    def by_part(run: int, found: list[tuple[int, bytes]], note: list[tuple[int, int, bytes]]) -> pa.Table:
+        parts: dict[int, list[tuple[int, bytes]]] = {}
+        for k, blob in found:
+            parts.setdefault(k // ranges, []).append((k, blob))
+        listed = [(part, *map(list, zip(*held))) for part, held in parts.items()] + [(part, [k], [blob]) for part, k, blob in note]
+        kinds = {"run": pa.int32(), "part": pa.int32(), "slices": pa.list_(pa.int32()), "data": pa.list_(pa.binary())}
+        columns = [[run] * len(listed), *(list(c) for c in zip(*listed))] if listed else [[]] * 4
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
 
     def send(key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
         run = _Run(table)
         marks = sorted(marks.to_pylist(), key=lambda r: r["part"])
         more = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["n"]) for r in marks)]).astype(bool)
         distinct, number = np.unique(run.hash, return_inverse=True)
-        out, note = _send(run, more[number] if len(distinct) else np.zeros(0, bool), splits)
-        n = len(out) + 1
-        return pa.table({"run": pa.array([key[0].as_py()] * n, pa.int32()), "slice": pa.array([*(k for k, _ in out), -1], pa.int32()), "data": pa.array([*(b for _, b in out), note], pa.binary())})
+        out, note = _send(run, more[number] if len(distinct) else np.zeros(0, bool), splits, hot, n_runs)
+        return by_part(key[0].as_py(), out, [(-1, -1, note)])
 
-    sent = texts.groupBy("__run").cogroup(masks.groupBy("run")).applyInArrow(send, "run int, slice int, data binary")
+    sent = texts.groupBy("__run").cogroup(masks.groupBy("run")).applyInArrow(send, data_schema)
     sent = written(sent, "suffix-slices")
 
     def compare(table: pa.Table) -> pa.Table:
-        found = _compare(table.column("data").to_pylist())
-        return pa.table({"run": table.column("run"), "slice": table.column("slice"), "data": pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())})
-
-    found = sent.where("slice >= 0").groupBy("slice").applyInArrow(compare, "run int, slice int, data binary")
-    notes = sent.where("slice < 0").unionByName(found)
+        runs, held, pack = table.column("run").to_pylist(), {}, zstandard.ZstdCompressor(level=3)
+        for run, names, blobs in zip(runs, table.column("slices").to_pylist(), table.column("data").to_pylist()):
+            for k, blob in zip(names, blobs):
+                held.setdefault(k, []).append((run, blob))
+        out: dict[int, list[tuple[int, bytes]]] = {run: [] for run in runs}
+        for k in sorted(held):
+            own = held.pop(k)
+            found = (_compare if k < n_runs else _compare_windows)([blob for _, blob in own])
+            for (run, _), bits in zip(own, found):
+                out[run].append((k, pack.compress(bits.astype("<u8").tobytes())))
+        return pa.concat_tables([by_part(run, found, []) for run, found in out.items()])
+
+    found = sent.where("part >= 0").groupBy("part").applyInArrow(compare, data_schema)
+    notes = sent.where("part < 0").unionByName(found)
     out_schema = rows.select(F.col("__row"), F.col("__id").alias("doc_id")).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def remove(table: pa.Table, notes: pa.Table) -> pa.Table:
         run = _Run(table, anchors=False)
         if not len(run.texts):
             table = table.slice(0, 0)
-        by_slice = {r["slice"]: r["data"] for r in notes.to_pylist()}
-        note = by_slice.pop(-1, b"\0" * 8)
-        bits = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(by_slice[k], "<u8") for k in sorted(by_slice))])
-        gone = _covered(run, note, bits)
+        by_slice = {k: data for r in notes.to_pylist() for k, data in zip(r["slices"], r["data"])}
+        note = by_slice.pop(-1, b"")
+        gone = _covered(run, note, {k: np.frombuffer(zstandard.decompress(x), "<u8") for k, x in by_slice.items()}, n_runs)
         removed, spans, kept, end = [], [], [], 0
         for t, n in zip(run.texts, run.lengths.tolist()):
             own = gone[end : end + n]
@@ -411,9 +507,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with the repeated bytes gone from text (and n_chars, where there is one, counted anew). Bytes of a
     character that is cut apart go with it. A null text stays null."""
     names = docs.columns
-    row = "struct(" + ", ".join(f"`{c}`" for c in names if c != "text") + ", text is null as __null)"
+    row = "struct(" + ", ".join(f"`{c}`" for c in names if c != "text") + ", text is null as __text_is_null)"
     out = _kept(docs, row, "doc_id", "text", characters=True)
-    kept = F.when(F.col("__row.__null"), F.lit(None).cast("string")).otherwise(F.col("kept").cast("string"))
+    kept = F.when(F.col("__row.__text_is_null"), F.lit(None).cast("string")).otherwise(F.col("kept").cast("string"))
     out = out.withColumn("__text", kept)
     return out.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c in names])
 

@@ -6,8 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from framewright.llm import simhash
-from framewright.llm.simhash import anchors, components, fingerprint, links, near_duplicates, without_near_duplicates
+from framewright.llm import common, simhash
+from framewright.llm.simhash import NARROW, WIDE, anchors, components, fingerprint, links, near_duplicates
 
 
 def brute_components(values):
@@ -42,25 +42,27 @@ def prints(n, seed):
     return [v - 2**64 if v >> 63 else v for v in out]
 
 
-@pytest.mark.parametrize("homes", [2048, 3])
-def test_links_join_what_all_pairs_join(spark, monkeypatch, homes):
+@pytest.mark.parametrize("homes,cover,hot", [(2048, NARROW, 1 << 20), (3, NARROW, 7), (2048, WIDE, 1 << 20), (3, WIDE, 7)])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, homes, cover, hot):
     monkeypatch.setattr(simhash, "HOMES", homes)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     values = prints(250, 5) + [2**k for k in range(40)] + [0]
-    found = links(spark.createDataFrame([(v,) for v in sorted(set(values))], "fp long"))
+    found = links(spark.createDataFrame([(v,) for v in sorted(set(values))], "fp long"), cover)
     labels = {r.node: r.label for r in components(found, "fp", "other").collect()}
     assert all(labels.get(v, v) == low for v, low in brute_components(values).items())
 
 
-def test_neighbours_meet_at_an_anchor():
+@pytest.mark.parametrize("cover,sends", [(NARROW, 3 * 18), (WIDE, 6 * 20)])
+def test_neighbours_meet_at_an_anchor(cover, sends):
     r = random.Random(2)
     for _ in range(300):
         x = r.getrandbits(64)
         y = x
         for bit in r.sample(range(64), 4):
             y ^= 1 << bit
-        a, i, home = anchors(np.array([x, y], np.uint64).view(np.int64))
+        a, i, home = anchors(np.array([x, y], np.uint64).view(np.int64), cover)
         assert set(a[(i == 0) & (home == 1)]) & set(a[(i == 1) & (home == 0)])
-        assert len(a) < 2 * 3 * 18
+        assert len(a) < 2 * sends
 
 
 def plain_fingerprint(text):
@@ -88,6 +90,17 @@ def test_near_duplicates(table, odd_rows):
         lowest[label[fp]] += [i for i in ids if i is not None]
     want = sorted(str((i, f"{plain_fingerprint(t):016x}", min(lowest[label[plain_fingerprint(t)]], default=None))) for i, t, _ in rows)
     assert sorted(str(tuple(r)) for r in near_duplicates(table(rows)).collect()) == want
-    kept = without_near_duplicates(table([r for r in rows if r[0] is not None]))
-    assert {r.doc_id for r in kept.collect()} == {min(v) for v in lowest.values() if v}
     assert near_duplicates(table([])).collect() == []
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 1000])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    n = 30_000 if hot > 1000 else 3000
+    r = random.Random(4)
+    names = r.sample(range(10**9), 2 * n)
+    chain, star = names[:n], names[n:]
+    edges = list(zip(chain, chain[1:])) + [(star[0], v) for v in star[1:]]
+    found = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert len(found) == 2 * n
+    assert {(r.node, r.label) for r in found} == {(v, min(chain)) for v in chain} | {(v, min(star)) for v in star}

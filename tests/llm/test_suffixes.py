@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from framewright.llm import suffixes
 from framewright.llm.suffixes import merge_runs, repeated_bytes, without_repeats
@@ -44,11 +46,23 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,run_bytes", [(1, 12 << 20), (2, 1500), (3, 400)])
-def test_repeats_against_brute_force(table, monkeypatch, seed, run_bytes):
+@pytest.mark.parametrize("seed,run_bytes,hot_slices,parts", [(1, 12 << 20, 4, 256), (2, 1500, 4, 256), (3, 400, 4, 256), (4, 400, 2, 3)])
+def test_repeats_against_brute_force(table, monkeypatch, seed, run_bytes, hot_slices, parts):
+    monkeypatch.setattr(suffixes, "HOT_SLICES", hot_slices)
+    monkeypatch.setattr(suffixes, "PARTS", parts)
     monkeypatch.setattr(suffixes, "RUN_BYTES", run_bytes)
     monkeypatch.setattr(suffixes, "BLOCK", 700)
     rows = corpus(seed)
+    if hot_slices == 2:  # an anchor string in every document, with continuations that differ and some that don't
+        r = random.Random(9)
+        rows = [(i, (t or "") + f"a common head of all {r.randint(0, 8)} and then the same end of many for the rest {r.random() if r.random() < 0.5 else 1}") for i, t in rows]
+        divided, windows = [], suffixes._windows
+        monkeypatch.setattr(suffixes, "_windows", lambda d, c: (divided.append(len(c)), windows(d, c))[1])
+        texts = [(t or "").encode() for _, t in rows]
+        run = suffixes._Run(pa.table({"__id": [i for i, _ in rows], "__text": [t for _, t in rows]}))
+        hot = np.array([b"nd of many for t", b"e same end of ma", *(run.data[a : a + 16].tobytes() for a in run.at[::7])], "S16")
+        out, note = suffixes._send(run, np.ones(len(run.at), bool), np.array([], "S16"), hot, 5)
+        assert divided[0] and {k for k, _ in out} > {5, 6} and texts
     docs = table([(i, t, "a") for i, t in rows])
     want = brute(rows)
     assert sum(w[2] for w in want) > 1000
