@@ -1,39 +1,130 @@
-"""Rebuilding a manifest: each episode becomes a row, or a reason why not."""
+"""Rebuilding a manifest: each episode becomes a row, or a reason why not; and the index that training reads."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.scalar import is_safe_name, join_caption, or_default, role_id, source_kind
+from framewright.functions.scalar import is_safe_name, join_caption, or_default, rewrite_prefix, source_kind, source_suffix, view_role
+
+#: Frame rates of datasets whose latents and files tell none.
+STATIC_FPS = {"EPIC_KITCHENS": 59.94, "SthSthV2": 12.0, "RoboMind": 20.0, "RoboMIND2.0": 14.0, "EgoDex": 30.0, "EgoVerse": 30.0, "RDT-1B": 30.0}
+#: Versions of an index that can be read.
+INDEX_VERSIONS = (2, 4)
+
+
+def resolved_fps(fps: Column, measured: Column, dataset: Column, default: float) -> Column:
+    """The stated rate, else the measured one, else the dataset's, else the default; what isn't positive counts as none."""
+    table = F.create_map(*[F.lit(x) for kv in STATIC_FPS.items() for x in kv])
+    some = lambda c: F.when(c > 0, c)
+    return F.coalesce(some(fps), some(measured), table[dataset], F.lit(default))
 
 
-def rebuild(episodes: DataFrame, latents: DataFrame, dim: int, pair_stride: int, caption_most: int = 512, fps: float = 30.0) -> DataFrame:
-    """episodes: dataset, episode_id, caption, views (as read by read_manifest with EPISODES). latents: dataset, episode_id, view, latent_path, num_latents, latent_dim,
-    pair_stride, start_frame, fps. Returns dataset, episode_id, caption, views, reason: views are filled in where reason is null.
+def rebuild(episodes: DataFrame, latents: DataFrame, dim: int = 0, pair_stride: int = 0, representation: str = "", caption_most: int = 512, fps: float = 30.0) -> DataFrame:
+    """episodes: dataset, episode_id, caption, gap, views (map of view to video_path, is_store, measured_fps). latents: dataset, episode_id, view, how (the
+    probe's status) and meta (num_latents, code_shape, fps, gap, start_frame, pair_stride, representation, source; null where there is no latent), a row a view.
+    Adds reason (null: kept), counters (all counter keys of the episode), gap, latent_dim and views as manifest rows; a row an episode, repeated ones included.
 
-    Of several reasons the first stands, by the order of the rules and then of the views' roles; views whose latents are missing make an episode incomplete.
+    The first reason stands: malformed, unsafe_name, unmapped_camera, then of the views in the order of their roles the first with a fault of its own; an
+    episode with a view without latents is incomplete only where no view has such a fault. An expectation of 0 or "" isn't checked.
     """
-    named = episodes.withColumn("unsafe", ~(is_safe_name(F.col("dataset")) & is_safe_name(F.col("episode_id"))))
-    views = named.select("dataset", "episode_id", F.explode_outer("views").alias("view", "at")).withColumn("role", role_id(F.col("view")))
-    joined = views.join(latents.withColumn("__has", F.lit(True)), ["dataset", "episode_id", "view"], "left")
-    path = or_default(F.col("at.video_path"), "")
-    start = F.coalesce(F.col("start_frame"), F.col("at.start_frame"), F.lit(0))
+    probes = latents.groupBy("dataset", "episode_id").agg(F.collect_list(F.struct("view", "how", "meta")).alias("__probes"))
+    rows = episodes.join(probes, ["dataset", "episode_id"], "left")
+    names = F.map_keys("views")
+    malformed = (F.coalesce("dataset", F.lit("")) == "") | F.col("episode_id").isNull() | F.coalesce(F.size("views") < 1, F.lit(True))
+    unsafe = ~is_safe_name(F.col("dataset")) | ~is_safe_name(F.col("episode_id"), nested=True) | F.exists(names, lambda v: ~is_safe_name(v))
+    unmapped = F.filter(names, lambda v: view_role(v).isNull())
+    ordered = F.array_sort(F.transform(F.map_entries("views"), lambda e: F.struct(view_role(e["key"]).alias("role"), e["key"].alias("view"), e["value"].alias("source"))))
+
+    def judged(v: Column) -> Column:
+        path = or_default(v["source"]["video_path"], "")
+        kind, suffix = source_kind(path), source_suffix(path)
+        probe = F.get(F.filter(F.coalesce("__probes", F.array()), lambda p: p["view"] == v["view"]), F.lit(0))
+        meta = probe["meta"]
+        how = F.coalesce(probe["how"], F.lit("missing_latent"))
+        shape = F.coalesce(meta["code_shape"], F.array().cast("array<int>"))
+        start, step = F.coalesce(meta["start_frame"], F.lit(0)), or_default(meta["pair_stride"], 1)
+        shown = F.concat(F.lit("["), F.array_join(F.transform(shape, lambda x: x.cast("string")), ", "), F.lit("]"))
+        fault = (
+            F.when(path == "", "no_video_path").when((kind == "zarr") & ~F.coalesce(v["source"]["is_store"], F.lit(False)), "unsupported_source:dir")
+            .when(kind == "unsupported", F.concat(F.lit("unsupported_source:"), suffix)).when(meta.isNull(), F.lit(None).cast("string"))
+            .when(F.coalesce(meta["num_latents"], F.lit(0)) < 1, "bad_num_latents")
+            .when((F.size(shape) != 1) | (F.lit(dim > 0) & (F.get(shape, F.lit(0)) != dim)), F.concat(F.lit("latent_dim_mismatch:"), shown))
+            .when(start < 0, F.concat(F.lit("negative_start_frame:"), start)).when(F.lit(pair_stride > 0) & (step != pair_stride), F.concat(F.lit("pair_stride_mismatch:"), step))
+            .when(F.lit(representation != "") & ~meta["representation"].eqNullSafe(F.lit(representation)), F.concat(F.lit("representation_mismatch:"), F.coalesce(meta["representation"], F.lit("None"))))
+        )
+        video, told = or_default(meta["source"], ""), F.coalesce(meta["source"], F.lit("")) != ""
+        video = F.when(told, video).otherwise(path)
+        measured = F.when(kind == "hdf5", v["source"]["measured_fps"])
+        rate = resolved_fps(meta["fps"], measured, F.col("dataset"), fps)
+        unstated = ~F.coalesce(meta["fps"] > 0, F.lit(False))
+        keys = F.array(
+            F.concat(F.lit("probe_"), how), F.when(meta.isNull(), how), F.when(start != 0, F.concat(F.lit("windowed_start_frame:"), F.col("dataset"))),
+            F.when(meta.isNotNull(), F.when(video == path, "video_path_verbatim").otherwise("video_path_resolved")), F.when(meta.isNotNull() & ~told, "no_protocol_source"),
+            F.when(meta.isNotNull() & unstated, F.when(measured > 0, F.concat(F.lit("fps_measured_hdf5:"), F.col("dataset"))).otherwise(F.concat(F.lit("fps_fallback:"), F.col("dataset")))),
+        )
+        latent = F.concat_ws("/", "dataset", "episode_id", v["view"], F.lit("latent.npz"))
+        row = F.struct(v["view"].alias("view"), video.alias("video_path"), latent.alias("latent_path"), meta["num_latents"].alias("num_latents"), rate.alias("fps"), step.alias("pair_stride"), start.alias("start_frame"), v["role"].alias("role"))
+        return F.struct(fault.alias("fault"), meta.isNull().alias("missing"), F.filter(keys, lambda k: k.isNotNull()).alias("keys"), row.alias("row"), or_default(meta["gap"], 0).alias("gap"), F.get(shape, F.lit(0)).alias("dim"))
+
+    usable = F.when(~malformed & ~unsafe & (F.size(unmapped) == 0), ordered).otherwise(F.slice(ordered, 1, 0))
+    rows = rows.withColumn("__judged", F.transform(usable, judged))
+    rows = rows.withColumn("__fault", F.get(F.filter(F.transform("__judged", lambda j: j["fault"]), lambda f: f.isNotNull()), F.lit(0)))
+    incomplete = F.exists("__judged", lambda j: j["missing"])
     reason = (
-        F.when(F.col("view").isNull(), "no_usable_views").when(F.col("role").isNull(), "unmapped_camera").when(path == "", "no_video_path")
-        .when(source_kind(path) == "unsupported", "unsupported_source").when(F.col("__has").isNull(), "missing_latent").when(~(F.coalesce("num_latents", F.lit(0)) > 0), "bad_num_latents")
-        .when(F.col("latent_dim") != dim, "latent_dim_mismatch").when(start < 0, "negative_start_frame").when(F.col("pair_stride") != pair_stride, "pair_stride_mismatch")
+        F.when(malformed, "malformed").when(unsafe, "unsafe_name").when(F.size(unmapped) > 0, F.concat(F.lit("unmapped_camera:"), F.array_join(F.array_sort(unmapped), ",")))
+        .when(F.col("__fault").isNotNull(), F.col("__fault")).when(incomplete, "incomplete_views")
     )
-    row = F.struct("role", "view", path.alias("video_path"), "latent_path", "num_latents", or_default(F.col("fps"), fps).alias("fps"), "pair_stride", start.alias("start_frame"))
-    judged = joined.select("dataset", "episode_id", "role", reason.alias("reason"), row.alias("row"))
-    whole = judged.groupBy("dataset", "episode_id").agg(
-        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.coalesce("role", F.lit(-1)))).alias("first"), F.array_sort(F.collect_list("row")).alias("views"), F.count_if(F.col("reason") == "missing_latent").alias("gone"), F.count(F.lit(1)).alias("n")
-    )
-    out = named.drop("views").join(whole, ["dataset", "episode_id"])
-    why = F.when(F.col("unsafe"), "unsafe_name").when((F.col("first") == "missing_latent") & (F.col("gone") < F.col("n")), "incomplete_views").otherwise(F.col("first"))
-    return out.select("dataset", "episode_id", join_caption(F.col("caption"), caption_most).alias("caption"), F.when(why.isNull(), F.col("views")).alias("views"), why.alias("reason"))
+    keys = F.flatten(F.transform("__judged", lambda j: j["keys"]))
+    last = F.when(F.col("reason").isNull(), F.array(F.concat(F.lit("views_"), F.size("__judged")), F.lit("kept"))).when(F.col("reason") == "incomplete_views", F.array("reason"))
+    own = F.when(last.isNotNull(), F.concat(keys, last)).when(F.size(unmapped) > 0, F.when(F.startswith("reason", F.lit("unmapped")), F.transform(F.array_sort(unmapped), lambda v: F.concat(F.lit("unmapped_camera:"), v)))).otherwise(F.array("reason"))
+    first = F.get("__judged", F.lit(0))
+    rows = rows.withColumn("reason", reason).withColumn("counters", F.coalesce(own, F.array("reason")))
+    kept = lambda c: F.when(F.col("reason").isNull(), c)
+    return rows.select(
+        "dataset", "episode_id", join_caption(F.col("caption"), caption_most).alias("caption"), kept(or_default(first["gap"], 0)).alias("__g"), kept(first["dim"]).alias("latent_dim"), F.col("gap").alias("__gap"),
+        kept(F.transform("__judged", lambda j: j["row"])).alias("views"), "reason", "counters",
+    ).withColumn("gap", kept(F.coalesce(F.nullif("__g", F.lit(0)), F.nullif("__gap", F.lit(0)), F.lit(5)))).drop("__g", "__gap")
 
 
 def drop_counts(rebuilt: DataFrame) -> DataFrame:
-    """Kept rows and dropped ones by dataset and reason."""
-    return rebuilt.groupBy("dataset", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """All counters by dataset: kept rows, drop reasons, probe statuses."""
+    return rebuilt.select("dataset", F.explode("counters").alias("counter")).groupBy("dataset", "counter").agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_rows(manifest: DataFrame, chunk: int, seconds: float, fps: float = 30.0, caption: str = "perform the task") -> DataFrame:
+    """manifest: rebuild's rows. One row a kept episode of the index: dataset, episode_id, caption, nlat (the least of its views), fps, stride, pair_stride, start_frame
+    (all of the view of the lowest role), views (role, latent_path, start_frame, in order of role), and kept (false: shorter than a chunk)."""
+    rows = manifest.where("reason is null").withColumn("views", F.array_sort(F.transform("views", lambda v: F.struct(v["role"].alias("role"), v["latent_path"].alias("latent_path"), v["start_frame"].alias("start_frame"), v["num_latents"].alias("num_latents"), v["fps"].alias("fps"), v["pair_stride"].alias("pair_stride")))))
+    low = F.get("views", F.lit(0))
+    rate, step = or_default(low["fps"], fps), F.greatest(F.lit(1), or_default(low["pair_stride"], 1))
+    stride = F.greatest(F.lit(1), F.bround(rate * seconds / step, 0).cast("int"))
+    rows = rows.withColumn("nlat", F.array_min(F.transform("views", lambda v: v["num_latents"]))).withColumn("stride", stride)
+    text = F.coalesce(F.nullif(F.trim("caption"), F.lit("")), F.lit(caption))
+    return rows.select(
+        "dataset", "episode_id", text.alias("caption"), "nlat", rate.alias("fps"), "stride", step.alias("pair_stride"), low["start_frame"].alias("start_frame"),
+        F.transform("views", lambda v: F.struct(v["role"].alias("role"), v["latent_path"].alias("latent_path"), v["start_frame"].alias("start_frame"))).alias("views"),
+        (F.col("nlat") >= (chunk - 1) * F.col("stride") + 1).alias("kept"),
+    )
+
+
+def write_index(index: DataFrame, path: str, recipe: dict) -> None:
+    """The index's kept rows as Parquet, and a meta row: version, recipe, kept and dropped rows by dataset. An index that is there isn't overwritten."""
+    index.where("kept").drop("kept").write.mode("errorifexists").parquet(f"{path}/rows")
+    counts = index.groupBy("dataset").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+    meta = counts.select(F.lit(INDEX_VERSIONS[-1]).alias("version"), F.to_json(F.create_map(*[F.lit(str(x)) for kv in sorted(recipe.items()) for x in kv])).alias("recipe"), "dataset", "kept", "dropped")
+    meta.write.mode("errorifexists").json(f"{path}/meta")
+
+
+def read_index(spark, path: str, recipe: dict | None = None, rules: list[tuple[str, str]] = [], roles: int = 6) -> DataFrame:  # noqa: B006
+    """An index's rows: another version or recipe is an error, and so is a role out of range, where a task meets it. rules rewrite the paths' prefixes."""
+    meta = spark.read.schema("version int, recipe string, dataset string, kept long, dropped long").json(f"{path}/meta").select("version", "recipe").distinct().limit(2).collect()
+    if len(meta) != 1 or meta[0].version not in INDEX_VERSIONS:
+        raise ValueError(f"{path}: versions {[m.version for m in meta]}, one of {INDEX_VERSIONS} can be read")
+    if recipe is not None and json.loads(meta[0].recipe) != {k: str(v) for k, v in recipe.items()}:
+        raise ValueError(f"{path} was built with {meta[0].recipe}")
+    role = lambda v: F.when(v["role"].between(0, roles - 1), v["role"]).otherwise(F.raise_error(F.lit("a role out of range")).cast("int"))
+    views = F.transform("views", lambda v: F.struct(role(v).alias("role"), rewrite_prefix(v["latent_path"], rules).alias("latent_path"), v["start_frame"].alias("start_frame")))
+    return spark.read.parquet(f"{path}/rows").withColumn("views", views)

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.ranges import running
+
 
 def largest_remainder(rows: DataFrame, exact: str, total: Column, into: str, order: list[str], within: list[str] | None = None) -> DataFrame:
     """Whole numbers that sum to total: each row's floor, and one more for the rows of the largest remainders, ties in order.
 
-    within: groups, each with its own total. A total that the floors pass, or that is more than the rows can make up, is an error.
+    within: groups, each with its own total. A total that the floors pass, or that is more than the rows can make up, is an error. Sums are a row
+    a group, and ranks are taken over ranges, so a group may be of any size.
     """
-    group = Window.partitionBy(*(within or [F.lit(1)]))
-    rest = F.col(exact) - F.floor(exact)
-    ranked = rows.withColumn("__short", total - F.sum(F.floor(exact)).over(group)).withColumn("__size", F.count(F.lit(1)).over(group))
-    ranked = ranked.withColumn("__rank", F.row_number().over(group.orderBy(rest.desc(), *order)))
-    wrong = (F.col("__short") < 0) | (F.col("__short") > F.col("__size"))
-    checked = F.when(wrong, F.raise_error(F.lit("the total can't be apportioned")).cast("long")).otherwise((F.floor(exact) + (F.col("__rank") <= F.col("__short")).cast("long")).cast("long"))
-    return ranked.withColumn(into, checked).drop("__short", "__size", "__rank")
+    group = within or []
+    rest = (F.col(exact) - F.floor(exact)).desc()
+    ranked = running(rows.withColumn("__total", total), group, [rest, *map(F.col, order)], "__rank")
+    sums = rows.groupBy(*group).agg(F.sum(F.floor(exact)).alias("__floors"), F.count(F.lit(1)).alias("__size"))
+    ranked = ranked.join(sums, group) if group else ranked.join(F.broadcast(sums))  # one row without groups
+    short = F.col("__total") - F.col("__floors")
+    wrong = (short < 0) | (short > F.col("__size"))
+    checked = F.when(wrong, F.raise_error(F.lit("the total can't be apportioned")).cast("long")).otherwise((F.floor(exact) + (F.col("__rank") < short).cast("long")).cast("long"))
+    return ranked.withColumn(into, checked).drop("__total", "__floors", "__size", "__rank")
 
 
 def weighted_slots(episodes: DataFrame, weights: DataFrame) -> DataFrame:

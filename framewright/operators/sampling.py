@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.ranges import running
+
 
 def spread(*columns: Column, seed: int = 0) -> Column:
     """60 even bits of the columns and a seed, as every engine with md5 has them."""
@@ -41,14 +44,89 @@ def epoch_order(episodes: DataFrame, block: int, seed: int) -> DataFrame:
     return ranked.where("count > 0").select("episode", "block", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)).alias("turn"))
 
 
+def numbered(rows: DataFrame, group: list[str], key: str, place: str, n: str, seed: int = 0) -> DataFrame:
+    """Adds the row's place within its group in a hash order, and the group's size."""
+    out = running(rows, group, [spread(F.col(key), seed=seed), F.col(key)], place)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias(n))
+    # without groups one row; else a row a group, and a hot group's rows are a skewed join that Spark divides
+    return out.join(sizes, group) if group else out.join(F.broadcast(sizes))
+
+
 def rank_batches(rows: DataFrame, group: list[str], key: str, size: int, replicas: int, seed: int = 0) -> DataFrame:
     """Full batches of size within each group, in a hash order, as many for each replica: batch, replica. Rows of the rest are left out."""
-    order = Window.partitionBy(*group).orderBy(spread(F.col(key), seed=seed), key)
-    out = rows.withColumn("__at", F.row_number().over(order) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    out = numbered(rows, group, key, "__at", "__n", seed)
     out = out.withColumn("batch", F.expr(f"__at div {size}")).where(F.col("batch") < F.expr(f"(__n div {size} div {replicas}) * {replicas}"))
     return out.withColumn("replica", F.pmod(F.col("batch"), F.lit(replicas))).drop("__at", "__n")
 
 
+def locality_window(micro_batch: int, accumulation: int, workers: int, replicas: int, window: int | None = None) -> int:
+    """Episodes that take turns in a block: by default a worker's stride between its batches; another number must divide that stride, and be more than
+    replicas * (local batch - 1), so that no micro-batch has two samples of an episode."""
+    local = micro_batch * accumulation
+    whole = local * workers * replicas
+    window = whole if window is None else window
+    if window < replicas * (local - 1) + 1:
+        raise ValueError(f"a window of {window} puts samples of one episode into one micro-batch; at least {replicas * (local - 1) + 1}")
+    if whole % window:
+        raise ValueError(f"a window of {window} doesn't divide the stride {whole}")
+    return window
+
+
+def locality_rows(episodes: DataFrame, total: int, window: int, seed: int) -> DataFrame | None:
+    """episodes: episode, count. A row a sample with block, turn and rank, for an order by them: episodes sorted by count and then at random are cut into windows,
+    whose blocks come in a random order; in a block the episodes take turns, and shorter ones fall out. None, so that the caller shuffles freely, where counts
+    are negative, don't add up to total, or are of fewer episodes than a window."""
+    n, least, have = episodes.agg(F.count(F.lit(1)), F.min("count"), F.sum("count")).first()
+    if n < window or least < 0 or have != total:
+        return None
+    ranked = running(episodes, [], [F.col("count"), spread(F.col("episode"), seed=seed), F.col("episode")], "__at")
+    ranked = ranked.select("episode", "count", F.expr(f"__at div {window}").alias("window"), F.pmod("__at", F.lit(window)).alias("rank")).where("count > 0")
+    ranked = ranked.withColumn("block", spread(F.col("window"), seed=seed + 1))
+    return ranked.select("episode", "block", "window", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)).alias("turn"))
+
+
+def epoch_batches(samples: DataFrame, n: int, order: list[Column], micro_batch: int, accumulation: int, replicas: int, drop_last: bool) -> DataFrame:
+    """samples of an epoch in an order: replica, batch, step (of the batch's micro-batches) and place within it. Without drop_last the last batch is filled with the epoch's
+    first samples again; no whole batch and drop_last is an error."""
+    size = micro_batch * accumulation * replicas
+    batches = n // size if drop_last else -(-n // size)
+    if not batches:
+        raise ValueError(f"{n} samples make no batch of {size}")
+    out = running(samples, [], order, "at")
+    again = F.when(F.col("at") < batches * size - n, F.array(F.col("at"), F.col("at") + n)).otherwise(F.array("at"))
+    if batches * size > 2 * n:
+        again = F.filter(F.transform(F.sequence(F.lit(0), F.lit(batches * size // n)), lambda k: F.col("at") + k * n), lambda x: x < batches * size)
+    out = out.withColumn("at", F.explode(again)).where(F.col("at") < batches * size)
+    own = F.expr(f"at div {replicas}")
+    local = micro_batch * accumulation
+    return out.withColumn("replica", F.pmod("at", F.lit(replicas))).withColumn("batch", F.floor(own / local)).withColumn("step", F.floor(F.pmod(own, F.lit(local)) / micro_batch)).withColumn("place", F.pmod(own, F.lit(micro_batch)))
+
+
+def least_loaded(rows: DataFrame, key: str, length: str, workers: int) -> DataFrame:
+    """rows: key, length (whole numbers above 0). Adds worker, as if rows came longest first (then by key), each to the worker with the least so far, the first of equals.
+
+    Rows of one length are worked out together: a worker with load x takes its share at x, x + length, x + 2 length and so on, in the order of these. So the driver
+    holds a row a length, and the rows themselves are ranked on executors.
+    """
+    loads, shares = np.zeros(workers, np.int64), []
+    for size, n in rows.groupBy(length).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(length)).collect():
+        low, high = int(loads.min()), int(loads.min()) + n * size
+        taken = lambda level: np.maximum(0, -(-(level - loads) // size))  # noqa: E731 - rows that workers take below a level
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if taken(middle).sum() <= n else (low, middle - 1)
+        own = taken(low)
+        at_level = np.flatnonzero(loads + own * size == low)[: n - int(own.sum())]
+        own[at_level] += 1
+        shares += [(int(size), w, int(loads[w]), int(k)) for w, k in enumerate(own) if k]
+        loads += own * size
+    spark = rows.sparkSession
+    turns = spark.createDataFrame(shares, "size long, worker int, load long, turns long")
+    turns = turns.withColumn("at", F.explode(F.expr("transform(sequence(0L, turns - 1), k -> load + k * size)")))
+    turns = running(turns, ["size"], [F.col("at"), F.col("worker")], "__turn").select(F.col("size").alias(length), "__turn", "worker")
+    return running(rows, [length], [F.col(key)], "__turn").join(turns, [length, "__turn"]).drop("__turn")
+
+
 def top_by_key(rows: DataFrame, group: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
     """A uniform sample of k rows a group: those of least hash."""
     order = Window.partitionBy(*group).orderBy(spread(F.col(key), seed=seed), key)

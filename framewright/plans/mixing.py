@@ -13,7 +13,7 @@ ALPHA = 0.7
 
 
 def episode_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows by dataset, with kept and dropped episodes."""
+    """Windows by dataset, with kept and dropped episodes."""
     rows = windows(spark, sf_dir)
     return rows.groupBy("dataset").agg(F.sum("windows").alias("windows"), F.count_if(F.col("windows") > 0).alias("kept"), F.count_if(F.col("windows") == 0).alias("dropped"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators import sampling
@@ -34,7 +34,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locality_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of all orders, in blocks of 64 orders of like length that take turns."""
+    """Samples of all orders, in blocks of 64 orders of like length that take turns."""
     return sampling.epoch_order(_counts(spark, sf_dir), 64, 7).select("episode", "block", "rank", "turn")
 
 
@@ -56,9 +56,8 @@ SELECT o_orderpriority, o_orderkey, pos // 16 AS batch, (pos // 16 % 4) AS repli
 def weighted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H8: 500 picks of each market segment's customers: without repetition where there are as many, else with whole rounds first."""
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
-    sizes = rows.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    at = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(sampling.spread(F.col("c_custkey")), "c_custkey"))
-    return rows.join(sizes, "c_mktsegment").withColumn("at", at).select("c_mktsegment", "c_custkey", F.expr("500 div n + if(at <= 500 % n, 1, 0)").alias("picks")).where("picks > 0")
+    out = sampling.numbered(rows, ["c_mktsegment"], "c_custkey", "at", "n")
+    return out.select("c_mktsegment", "c_custkey", F.expr("500 div n + if(at < 500 % n, 1, 0)").alias("picks")).where("picks > 0")
 
 
 _WEIGHTED = f"""SELECT c_mktsegment, c_custkey, 500 // n + (pos <= 500 % n)::BIGINT AS picks FROM (SELECT c_mktsegment, c_custkey, count(*) OVER (PARTITION BY c_mktsegment) AS n,
@@ -74,7 +73,7 @@ _TOP = f"SELECT c_nationkey, c_custkey, c_name FROM customer QUALIFY row_number(
 
 
 def read_substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each customer without an urgent order, the next one in the fixed sequence that has one."""
+    """For each customer without an urgent order, the next one in the fixed sequence that has one."""
     n = table(spark, sf_dir, "customer").count()
     good = table(spark, sf_dir, "orders").where(F.startswith("o_orderpriority", F.lit("1"))).select(F.col("o_custkey").alias("other")).distinct()
     bad = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i")).join(good.withColumnRenamed("other", "i"), "i", "left_anti")
@@ -97,13 +96,37 @@ FROM (SELECT l_orderkey AS episode, count(*) AS n FROM lineitem GROUP BY l_order
 
 
 def packed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each order begins and ends in its batch's packed row."""
+    """Where each order begins and ends in its batch's packed row."""
     return sampling.packed_offsets(_counts(spark, sf_dir).withColumn("batch", F.expr("episode div 100")), "batch", "episode", "count")
 
 
 _PACKED = """WITH e AS (SELECT l_orderkey AS episode, count(*)::BIGINT AS count, l_orderkey // 100 AS batch FROM lineitem GROUP BY l_orderkey)
 SELECT *, (sum(count) OVER w)::BIGINT AS "end", (sum(count) OVER w)::BIGINT - count AS "begin" FROM e WINDOW w AS (PARTITION BY batch ORDER BY episode)"""
 
+def locality_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all orders: windows of orders sorted by count, in a random order of blocks, in which orders take turns."""
+    counts = _counts(spark, sf_dir)
+    window = sampling.locality_window(4, 2, 2, 3, 24)
+    found = sampling.locality_rows(counts, table(spark, sf_dir, "lineitem").count(), window, 11)
+    if found is None or sampling.locality_rows(counts, 1, window, 11) is not None:
+        raise ValueError("the counts are those of the samples, and of nothing else")
+    return found
+
+
+_BLOCKS = f"""WITH e AS (SELECT l_orderkey AS episode, count(*)::BIGINT AS count FROM lineitem GROUP BY l_orderkey), r AS (SELECT *, row_number() OVER (ORDER BY count, {_key(11, 'episode::VARCHAR')}, episode) - 1 AS pos FROM e)
+SELECT episode, {_key(12, '(pos // 24)::VARCHAR')} AS block, pos // 24 AS "window", pos % 24 AS rank, unnest(range(count)) AS turn FROM r"""
+
+
+def epoch_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H4, H5, H6: customers in a hash order as micro-batches of four, two a batch and replica, three replicas; the last batch is filled from the first ones."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    return sampling.epoch_batches(rows, rows.count(), [sampling.spread(F.col("c_custkey"), seed=3), F.col("c_custkey")], 4, 2, 3, False).drop("at")
+
+
+_MICRO = f"""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY {_key(3, 'c_custkey::VARCHAR')}, c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer),
+a AS (SELECT c_custkey, unnest(CASE WHEN pos < ceil(n / 24) * 24 - n THEN [pos, pos + n] ELSE [pos] END) AS pos FROM r)
+SELECT c_custkey, pos % 3 AS replica, pos // 3 // 8 AS batch, pos // 3 % 8 // 4 AS step, pos // 3 % 4 AS place FROM a"""
+
 QUERIES = {
     "hash_sample": (hash_sample, _SAMPLE),
     "shard_partition": (shard_partition, _SHARD),
@@ -114,4 +137,6 @@ QUERIES = {
     "read_substitutes": (read_substitutes, _SUBSTITUTES),
     "padded_batches": (padded_batches, _PADDED),
     "packed_offsets": (packed_offsets, _PACKED),
+    "locality_blocks": (locality_blocks, _BLOCKS),
+    "epoch_micro_batches": (epoch_micro_batches, _MICRO),
 }

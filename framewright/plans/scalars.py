@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import scalar
+from framewright.operators.ranges import running
 from framewright.plans.tables import rounded, table
 from framewright.sources.manifests import keep_first
 
@@ -23,7 +24,7 @@ SELECT conv_id, CASE WHEN length(s) <= 200 THEN s WHEN substr(s, 201, 1) = ' ' T
 
 
 def task_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names under a prefix of their type, stripped again, where they begin with red or blue."""
+    """Part names under a prefix of their type, stripped again, where they begin with red or blue."""
     task = F.concat(F.when(F.col("p_size") % 2 == 0, "primitive: ").otherwise(" composite:"), F.col("p_name"))
     rows = table(spark, sf_dir, "part").select("p_partkey", scalar.strip_task_prefix(task).alias("task"))
     return rows.where(F.startswith("task", F.lit("red")) | F.startswith("task", F.lit("blue")))
@@ -33,15 +34,16 @@ _TASK = "SELECT p_partkey, p_name AS task FROM part WHERE p_name LIKE 'red%' OR
 
 
 def url_source_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by kind of a path made from their address, and whether its last part is a safe name."""
+    """Pages by kind of a path made from their address, and whether its last part is a safe name."""
     path = F.concat(F.element_at(F.split(F.element_at(F.split("url", "[?#]"), 1), "/"), -1), F.get(F.array(*[F.lit(s) for s in (".mp4", ".H5", ".zarr", ".txt", "")]), F.pmod("page_id", F.lit(5)).cast("int")))
-    path = F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("tar://"), path)).otherwise(path)
+    path = F.when(F.col("page_id") % 11 == 0, F.concat(F.lit(scalar.TAR_SCHEME), path)).otherwise(path)
     return table(spark, sf_dir, "pages").select("page_id", scalar.source_kind(path).alias("kind"), scalar.is_safe_name(path).alias("safe"))
 
 
-_KIND = r"""WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'tar://' ELSE '' END || regexp_split_to_array(regexp_split_to_array(url, '[?#]')[1], '/')[-1] || ['.mp4', '.H5', '.zarr', '.txt', ''][page_id % 5 + 1] AS path FROM pages)
-SELECT page_id, CASE WHEN path LIKE 'tar://%' THEN 'tar' WHEN lower(path) LIKE '%.h5' THEN 'hdf5' WHEN path LIKE '%.zarr' THEN 'zarr' WHEN path LIKE '%.mp4' THEN 'video' ELSE 'unsupported' END AS kind,
-path <> '' AND path NOT LIKE '%/%' AND path NOT IN ('.', '..') AND NOT contains(path, chr(92)) AS safe FROM p"""
+_KIND = rf"""WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '{scalar.TAR_SCHEME}' ELSE '' END || regexp_split_to_array(regexp_split_to_array(url, '[?#]')[1], '/')[-1] || ['.mp4', '.H5', '.zarr', '.txt', ''][page_id % 5 + 1] AS path FROM pages),
+k AS (SELECT page_id, path, path LIKE '%/%' AS nested, string_split(path, '/')[-1] AS name FROM p)
+SELECT page_id, CASE WHEN path LIKE '{scalar.TAR_SCHEME}%' THEN 'tar' WHEN lower(name) LIKE '_%.h5' THEN 'hdf5' WHEN name LIKE '_%.mp4' THEN 'video' WHEN ltrim(name, '.') LIKE '%.%' THEN 'unsupported' ELSE 'zarr' END AS kind,
+path <> '' AND NOT nested AND path NOT IN ('.', '..') AND NOT contains(path, chr(92)) AS safe FROM k"""
 
 
 def path_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,17 +105,15 @@ _ROTATION = "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PAR
 
 def sorted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customers' places by segment, then by key as text."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_custkey").cast("string")))
-    return table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", place.cast("long").alias("place"))
+    rows = running(table(spark, sf_dir, "customer"), ["c_mktsegment"], [F.col("c_custkey").cast("string")], "before")
+    return rows.select("c_mktsegment", "c_custkey", (F.col("before") + 1).cast("long").alias("place"))
 
 
 _SORTED = "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey::VARCHAR) AS place FROM customer"
 
 
 def page_after_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of fifty orders after the first hundred, by price."""
+    """A page of fifty orders after the first hundred, by price."""
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50).select("o_orderkey", "o_totalprice")
 
 
@@ -121,7 +121,7 @@ _PAGE = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC,
 
 
 def valid_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the right width that are finite throughout, and their largest entry."""
+    """Vectors of the right width that are finite throughout, and their largest entry."""
     fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: (F.abs(x) < 1e30) & ~F.isnan(x))
     return rounded(table(spark, sf_dir, "embeddings").where(fine).select("vec_id", F.array_max("embedding").cast("double").alias("top")))
 
@@ -130,7 +130,7 @@ _VALID = "SELECT vec_id, round(list_max(embedding)::DOUBLE, 6) AS top FROM embed
 
 
 def command_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discount as a gripper state and command, and the vector's slices."""
+    """The seventh entry as a gripper state and command, and the vector's slices."""
     rows = table(spark, sf_dir, "embeddings")
     return rounded(rows.select("vec_id", (1 - F.get("embedding", F.lit(6)).cast("double")).alias("state"), (1 - 2 * F.get("embedding", F.lit(6)).cast("double")).alias("command"), F.aggregate(F.slice("embedding", 1, 3), F.lit(0.0), lambda a, x: a + x).alias("moved")))
 
@@ -139,7 +139,7 @@ _FLIPS = "SELECT vec_id, round(1 - embedding[7]::DOUBLE, 6) AS state, round(1 -
 
 
 def robot_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Robot type of a variant's name, role number and family."""
+    """Robot type of a variant's name, role number and family."""
     variant = F.concat(F.replace("event_type", F.lit("i"), F.lit("-")), F.lit("_clean_50"))
     view = F.get(F.array(*[F.lit(r) for r in [*scalar.ROLES, "other"]]), F.pmod("user_id", F.lit(7)).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", scalar.variant_robot(variant).alias("robot"), F.coalesce(scalar.role_id(view), F.lit(-1)).alias("role"))
@@ -149,7 +149,7 @@ _ROBOTS = "SELECT event_id, replace(event_type, 'i', '_') AS robot, (CASE WHEN u
 
 
 def drop_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first reason by which a line falls, or kept."""
+    """Lines by the first of several conditions in order, or kept."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").where("p_size < 48").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey", "left")
     reason = (
         F.when(F.col("l_linenumber") > 6, "unmapped_camera").when(F.col("l_tax") == 0, "no_video_path").when(F.col("p_size").isNull(), "missing_latent")
@@ -163,7 +163,7 @@ WHEN l_discount > 0.09::DOUBLE THEN 'latent_dim_mismatch' ELSE 'kept' END AS rea
 
 
 def latest_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one row that an upsert by user and type leaves."""
+    """The one row that an upsert by user and type leaves."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.expr("-event_id").alias("age"))
     return keep_first(rows, ["user_id", "event_type"], ["age"]).drop("age")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import series as fs
 from framewright.functions.scalar import ROLES
+from framewright.operators.unwrap import unwrap_angles
 from framewright.plans.tables import FRAMES, SERIES, frames, rounded, series, table
 
 
@@ -25,7 +26,7 @@ SELECT episode, least(k * 12, greatest(0, n - 16)) AS start, least(least(k * 12,
 
 
 def strided_chunk_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight samples three apart from the fourth last on, the last repeated, and padded to ten."""
+    """eight samples three apart from the fourth last on, the last repeated, and padded to ten."""
     rows = series(spark, sf_dir).withColumn("chunk", fs.gather(F.col("x"), F.greatest(F.lit(0), F.size("x") - 10), F.lit(3), 8))
     padded = fs.pad_to(F.col("chunk"), 10)
     return rows.select("episode", F.posexplode(padded).alias("k", "v"))
@@ -52,7 +53,7 @@ _NEAR = f"{_RESAMPLED} SELECT episode, k, round(x[round_even(pos, 0)::BIGINT + 1
 
 
 def delta_from_chunk_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each value less the first of its chunk of 16."""
+    """F16: each value less the first of its chunk of 16."""
     first = F.first("value").over(Window.partitionBy("episode", F.expr("frame div 16")).orderBy("frame"))
     return rounded(frames(spark, sf_dir).select("event_id", (F.col("value") - first).alias("delta")))
 
@@ -62,8 +63,8 @@ _DELTA = f"WITH {FRAMES} SELECT event_id, round(value - first_value(value) OVER
 
 def euler_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """values as angles, unwrapped along each user's series."""
-    rows = series(spark, sf_dir).select("episode", fs.unwrap(F.transform("x", lambda v: F.pmod(v, F.lit(2 * math.pi)) - math.pi)).alias("y"))
-    return rounded(rows.select("episode", F.posexplode("y").alias("k", "v")), 5)
+    rows = frames(spark, sf_dir).select("episode", F.col("frame").cast("int").alias("k"), (F.pmod(F.col("value"), F.lit(2 * math.pi)) - math.pi).alias("v"))
+    return rounded(unwrap_angles(rows, ["episode"], "k", "v"), 5)
 
 
 _PI = f"{math.pi!r}::DOUBLE"
@@ -120,7 +121,7 @@ SELECT vec_id, k::INTEGER AS k, round(m[k + 1], 5) AS v FROM (SELECT vec_id, m,
 
 
 def relative_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rotation vectors of three dimensions each, one relative to the other."""
+    """Rotation vectors of three dimensions each, one relative to the other."""
     part = lambda at: fs.rotvec_to_matrix(F.transform(F.slice("embedding", at, 3), lambda v: v.cast("double")))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", part(1).alias("a"), part(4).alias("b"))
     return rows.select("vec_id", F.posexplode(fs.matmul(F.col("a"), F.col("b"), True)).alias("k", "v")).withColumn("v", F.round("v", 5))

@@ -43,7 +43,7 @@ _LEAF = "count(x) AS n, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std, min(
 
 
 def robot_schema_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of each field of each robot type."""
+    """Statistics of each field of each robot type."""
     return rounded(statistics.leaf_stats(_leaves(spark, sf_dir), ["robot", "path"], "x"), 4)
 
 
