@@ -2,7 +2,8 @@
 
 A text's k-mers are its runs of three words, numbered by occurrence, so repeats count. Each numbered k-mer is hashed
 once; the hash says in which of 64 bins it falls and its rank there. A bin's two least k-mers, in the order in which
-the text has them, give the bin's value: it changes when a k-mer goes, comes, or changes place.
+the text has them, give the bin's value: it changes when a k-mer goes, comes, or changes place. This is the one-permutation form of the
+method: a bin is a tuple of two, and in texts of under about 130 words many bins hold a single k-mer, which says nothing about order.
 Likeness is the share of equal values among bins that either text fills.
 """
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from framewright.llm.common import WORD, let, written
 
 WIDTH, BINS = 3, 64
-#: Bits for a k-mer's place in a sort key: texts of up to 16 million words.
-PLACE = 24
+#: Bits for a k-mer's place in a sort key: no array of Spark holds more longs than that.
+PLACE = 28
+#: Bits of a k-mer's bin and of its rank within it.
+BIN_BITS, RANK_BITS = 6, 29
 _EMPTY = "...."
 
 
@@ -33,7 +36,8 @@ def _occurrence(keys: Column, key: Column, i: Column) -> Column:
 
 def order_minhash(text: Column) -> Column:
     """The fingerprint of a text: four hex digits for each bin, dots for an empty one. Equal texts have equal ones; texts
-    of fewer than three words have one k-mer, all their words; a text without words fills no bin."""
+    of fewer than three words have one k-mer, all their words; a text without words fills no bin. A text without white space, as Chinese is often
+    written, is one word: its likeness to any other text is 0."""
     place = (1 << PLACE) - 1
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
@@ -43,8 +47,8 @@ def order_minhash(text: Column) -> Column:
 
     keyed = let(words, lambda w: F.transform(kmers(w), lambda h, i: F.shiftleft(F.shiftright(h, PLACE), PLACE).bitwiseOR(i.cast("long"))))
     # a number a k-mer: bin, then rank within it, then its place in the text
-    ranked = let(F.sort_array(keyed), lambda s: F.transform(s, lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftright(x, PLACE), _occurrence(s, x, i)), 64 - 39), PLACE).bitwiseOR(x.bitwiseAND(F.lit(place)))))
-    bin_of = lambda x: F.shiftright(x, PLACE + 33)
+    ranked = let(F.sort_array(keyed), lambda s: F.transform(s, lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftright(x, PLACE), _occurrence(s, x, i)), 64 - BIN_BITS - RANK_BITS), PLACE).bitwiseOR(x.bitwiseAND(F.lit(place)))))
+    bin_of = lambda x: F.shiftright(x, PLACE + RANK_BITS)
     least = let(F.sort_array(ranked), lambda s: F.filter(s, lambda x, i: (i < 2) | (bin_of(_get(s, i - 2)) != bin_of(x))))
 
     def values(s):

@@ -89,14 +89,14 @@ def _per_row(docs: DataFrame, schema: str, columns) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where=None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, label of about rows labelled documents: those with the lowest hashes. Two labels of an id count as their maximum."""
+    """doc_id, text, label of about rows labelled documents: those with the lowest hashes. Two labels of an id count as their maximum, of two texts of an id the smaller is taken."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marked = marked if where is None else marked.where(where)
-    n = marked.count()
-    share = int(1_000_000 * min(1.0, rows / max(n, 1)))
-    marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
+    share = min(1.0, rows / max(marked.count(), 1))
+    marked = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.lit(int(share * (2**63 - 1)))).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     # about SAMPLE_ROWS narrow rows: a proven bound for the broadcast
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Forest:
@@ -115,7 +115,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Forest:
 def judge(docs: DataFrame, forest: Forest, keep_at: float = KEEP_AT) -> DataFrame:
     """One row a row of docs: doc_id, BASE, base_failed, score, kept.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. Other columns aren't read.
+    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. A very long text is counted whole. Other columns aren't read.
     """
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean"
 

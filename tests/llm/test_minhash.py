@@ -6,7 +6,7 @@ from collections import Counter
 
 import xxhash
 from framewright.llm.licences import RULES, SENTENCES, scan_licences
-from framewright.llm.minhash import BINS, fingerprint_with_edits, likeness, order_minhash
+from framewright.llm.minhash import BINS, PLACE, RANK_BITS, fingerprint_with_edits, likeness, order_minhash
 from pyspark.sql import functions as F
 
 MASK = 2**64 - 1
@@ -28,10 +28,10 @@ def plain(text):
         kmers = [spark_hash(*words)] if words else []
     seen, bins = Counter(), {}
     for at, k in enumerate(kmers):
-        k >>= 24
-        g = (spark_mixed(k, seen[k]) & MASK) >> 25
+        k >>= PLACE
+        g = (spark_mixed(k, seen[k]) & MASK) >> 64 - 6 - RANK_BITS
         seen[k] += 1
-        bins.setdefault(g >> 33, []).append((g, at))
+        bins.setdefault(g >> RANK_BITS, []).append((g, at))
     out = ""
     for b in range(BINS):
         least = sorted(sorted(bins.get(b, []))[:2], key=lambda x: x[1])
@@ -84,12 +84,18 @@ def test_edits(table, odd_rows):
     assert [r.near_next for r in fingerprint_with_edits(table([(1, "only one here", "a")])).collect()] == [1.0]
 
 
+def test_texts_without_white_space_are_one_word(spark):
+    row = spark.createDataFrame([("漢字" * 40, "漢字" * 40 + "x")], "a string, b string").select(likeness(order_minhash(F.col("a")), order_minhash(F.col("b"))), likeness(order_minhash(F.col("a")), order_minhash(F.col("a")))).first()
+    assert tuple(row) == (0.0, 1.0)
+
+
 def test_licences(table):
-    full = {rule: ". ".join(SENTENCES[k] for k in rule).upper() + "." for rule, _ in RULES}
+    say = lambda k: SENTENCES[k].replace("*", "some one")
+    full = {rule: ". ".join(map(say, rule.split())).upper() + "." for rule, _ in RULES}
     rows = [(k, f"Some words.\n{full[rule]}\nmore", "a") for k, (rule, _) in enumerate(RULES)]
-    rows += [(100, None, "a"), (101, "", "a"), (102, "no licence at all. Really", "a"), (103, SENTENCES["A"] + ". x. y. z. w. " + SENTENCES["B"], "a"), (104, full["D"] + "\n" + full["F"] + "\n" + full["D"], "a")]
+    rows += [(1000, None, "a"), (1001, "", "a"), (1002, "no licence at all. Really", "a"), (1003, say("mit-grant") + ". x. y. z. w. " + say("mit-notice"), "a"), (1004, full["mit-released"] + "\n" + full["apache-licensed"] + "\n" + full["mit-released"], "a")]
     got = {r.doc_id: (r.sentence_ids, r.licences) for r in scan_licences(table(rows)).collect()}
-    assert all(got[k] == (rule, name) for k, (rule, name) in enumerate(RULES))
-    assert got[100] == got[101] == got[102] == ("", "")
-    assert got[103] == ("A|B", "MIT") and got[104] == ("DFD", "MIT,Apache-2.0")
+    assert all(got[k] == ("".join(f"<{x}>" for x in rule.split()), name) for k, (rule, name) in enumerate(RULES))
+    assert got[1000] == got[1001] == got[1002] == ("", "")
+    assert got[1003] == ("<mit-grant>|<mit-notice>", "MIT") and got[1004] == ("<mit-released><apache-licensed><mit-released>", "MIT,Apache-2.0")
     assert scan_licences(table([])).collect() == []
