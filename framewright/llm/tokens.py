@@ -94,28 +94,26 @@ class PieceEncoder:
 
     def _block(self, texts: pa.Array) -> Iterator[bytes]:
         odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD_TEXT).to_numpy(zero_copy_only=False))
-        plain = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), "", texts) if len(odd) else texts
-        split = pc.split_pattern(plain, " ")
+        if not len(odd):
+            yield from self._encoded(pc.split_pattern(texts, " "))
+            return
+        plain = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), "", texts)
+        cut = [_CUT.split(t) for t in texts.take(pa.array(odd)).to_pylist()]
+        irregular = dict(zip(odd.tolist(), self._encoded(pa.array(cut, pa.list_(pa.large_string())))))
+        for k, found in enumerate(self._encoded(pc.split_pattern(plain, " "))):
+            yield irregular.get(k, found)
+
+    def _encoded(self, split: pa.ListArray) -> Iterator[bytes]:
+        """The ids of texts given as lists of pieces; a text's first piece has no space before it, so it's encoded apart."""
         coded, starts = split.values.dictionary_encode(), split.offsets.to_numpy()
         codes = coded.indices.to_numpy()
         flat, begins, sizes = self._found(coded.dictionary)
-        # a text's first piece has no space before it, so it's encoded apart
         sizes = sizes[codes]
         sizes[starts[:-1]] = 0
         ids = _joined(flat, begins[codes], sizes)
         bounds = np.concatenate([[0], np.cumsum(sizes)])[starts].tolist()
-        firsts = coded.dictionary.take(pa.array(codes[starts[:-1]])).to_pylist()
-        irregular = set(odd.tolist())
-        for k, (first, a, b) in enumerate(zip(firsts, bounds[:-1], bounds[1:])):
-            if k in irregular:
-                first, *rest = _CUT.split(texts[k].as_py())
-                coded = pa.array(rest, pa.large_string()).dictionary_encode()
-                at = coded.indices.to_numpy()
-                flat, begins, sizes = self._found(coded.dictionary)
-                own = _joined(flat, begins[at], sizes[at])
-            else:
-                own = ids[a:b]
-            yield (self._alone(first) if first else b"") + own.tobytes()
+        for first, a, b in zip(coded.dictionary.take(pa.array(codes[starts[:-1]])).to_pylist(), bounds[:-1], bounds[1:]):
+            yield (self._alone(first) if first else b"") + ids[a:b].tobytes()
 
     def _found(self, pieces: pa.Array) -> Runs:
         """The ids of distinct pieces, each with the space before it; new ones are learned."""
