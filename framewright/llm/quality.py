@@ -93,7 +93,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where=None,
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marked = marked if where is None else marked.where(where)
     share = min(1.0, rows / max(marked.count(), 1))
-    marked = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.lit(int(share * (2**63 - 1)))).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
+    marked = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     # about SAMPLE_ROWS narrow rows: a proven bound for the broadcast
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
