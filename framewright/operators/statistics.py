@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +15,31 @@ def moments(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
 
 
-def leaf_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """moments with exact q01 and q99, linear between values."""
+#: Values of a group that its quantiles are taken from; beyond, a uniform sample of about so many.
+RESERVOIR = 200_000
+
+
+def leaf_stats(rows: DataFrame, keys: list[str], value: str, reservoir: int = RESERVOIR) -> DataFrame:
+    """moments over all rows, and q01 and q99, linear between values: exact for groups of up to reservoir rows, else over a uniform sample of about so many,
+    so that no task holds more of a group."""
     x = F.col(value).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.01), F.lit(0.99)))
-    out = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("__q"))
+    whole = moments(rows, keys, value)
+    sizes = whole.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("n").alias("__n"))
+    same = reduce(and_, [rows[k].eqNullSafe(sizes[f"__{k}"]) for k in keys])
+    some = rows.join(sizes, same).where((F.col("__n") <= reservoir) | (F.rand(17) * F.col("__n") < reservoir))
+    q = some.groupBy(*[f"__{k}" for k in keys]).agg(F.percentile(x, F.array(F.lit(0.01), F.lit(0.99))).alias("__q"))
+    out = whole.join(q, reduce(and_, [whole[k].eqNullSafe(q[f"__{k}"]) for k in keys])).drop(*[f"__{k}" for k in keys])
     return out.withColumns({"q01": F.get("__q", F.lit(0)), "q99": F.get("__q", F.lit(1))}).drop("__q")
 
 
+def checked_stats(stats: DataFrame, dim: int, width: str = "dim") -> DataFrame:
+    """Statistics by dimension that can be used: fewer than two rows, a dimension without spread, or another number of dimensions is an error."""
+    n, few, flat = stats.agg(F.count_distinct(width), F.count_if(F.col("n") < 2), F.count_if(~(F.col("std") > 0))).first()
+    if n != dim or few or flat:
+        raise ValueError(f"{n} dimensions of {dim}, {few} with fewer than two rows, {flat} without spread")
+    return stats
+
+
 def vector_moments(rows: DataFrame, vector: str) -> DataFrame:
     """moments by dimension of an array column."""
     return moments(rows.select(F.posexplode(vector).alias("dim", "x")), ["dim"], "x")
