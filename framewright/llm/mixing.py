@@ -51,6 +51,8 @@ def mix(
     sources may be null (a source of its own), a source of size 0 has target 0. Rows of equal id and text
     are told apart by nothing, so they are interchangeable; reruns agree. An empty table gives an empty result.
     """
+    if own := {"g", "key", "tie", "size", "cell", "bits", "budget", "epochs", "target", "source_size", "last", "before", "more", "taken"} & set(keep):
+        raise ValueError(f"rename {sorted(own)} in keep: mix has columns of that name")
     size = n_words(F.col(text)) if size is None else size
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), uniform_key(F.col(doc_id)).alias("key"), F.xxhash64(text).alias("tie"), *keep)
     rows = written(rows, "mix-rows") if not keep else rows

@@ -31,29 +31,6 @@ BITS = 60
 FIRST_BITS, MORE_BITS = 12, 6
 
 
-def greedy_cuts(sizes: list[int], capacity: int) -> list[int]:
-    """The first index of each further shard when shards are filled in order up to capacity."""
-    cuts, load = [], 0
-    for i, size in enumerate(sizes):
-        if load and load + size > capacity:
-            cuts.append(i)
-            load = 0
-        load += size
-    return cuts
-
-
-def smallest_capacity(sizes: list[int], n_shards: int) -> int:
-    """Binary search for the least capacity with which greedy filling needs at most n_shards shards."""
-    low, high = max(max(sizes, default=0), -(-sum(sizes) // n_shards)), max(sum(sizes), 0)
-    while low < high:
-        middle = (low + high) // 2
-        if len(greedy_cuts(sizes, middle)) < n_shards:
-            high = middle
-        else:
-            low = middle + 1
-    return low
-
-
 class _Ranges:
     """Sums over key ranges in order; some are single groups (exact), the others can be cut anywhere inside."""
 
@@ -172,7 +149,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, overhead: int = 16, doc_id: s
         F.crc32(whole.cast("binary")).alias("text_crc32"), uniform_key(whole).alias("key"), uniform_key(F.col(doc_id)).alias("spread"),
     )
     rows = written(rows, "shard-rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
     own, places, cuts = shard_plan(groups, n_shards)
     # at most 64 large groups a shard: a proven bound for the broadcast
     moved = [(k, place, None) for k, place in places.items()] + [(k, None, i) for i, k in enumerate(own)]

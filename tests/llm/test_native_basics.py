@@ -7,10 +7,33 @@ from collections import Counter, defaultdict
 import pytest
 from framewright.llm import sharding
 from framewright.llm.mixing import first_words, mix, mixed_documents
-from framewright.llm.sharding import greedy_cuts, shard_by_bytes, shard_plan, smallest_capacity
+from framewright.llm.sharding import shard_by_bytes, shard_plan
 from pyspark.sql import functions as F
 
 
+def greedy_cuts(sizes: list[int], capacity: int) -> list[int]:
+    """The first index of each further shard when shards are filled in order up to capacity."""
+    cuts, load = [], 0
+    for i, size in enumerate(sizes):
+        if load and load + size > capacity:
+            cuts.append(i)
+            load = 0
+        load += size
+    return cuts
+
+
+def smallest_capacity(sizes: list[int], n_shards: int) -> int:
+    """Binary search for the least capacity with which greedy filling needs at most n_shards shards."""
+    low, high = max(max(sizes, default=0), -(-sum(sizes) // n_shards)), max(sum(sizes), 0)
+    while low < high:
+        middle = (low + high) // 2
+        if len(greedy_cuts(sizes, middle)) < n_shards:
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
