@@ -32,6 +32,20 @@ def leaf_stats(rows: DataFrame, keys: list[str], value: str, reservoir: int = RE
     return out.withColumns({"q01": F.get("__q", F.lit(0)), "q99": F.get("__q", F.lit(1))}).drop("__q")
 
 
+def chunk_weight(frame: Column, n: Column, chunk: int) -> Column:
+    """How often a frame of n stands in the chunks that start at every frame, their tails filled up with the last frame."""
+    short = F.least(n, F.lit(chunk - 1))
+    return F.least(frame + 1, F.lit(chunk)) + F.when(frame == n - 1, short * chunk - (short * (short + 1) / 2).cast("long")).otherwise(0)
+
+
+def weighted_moments(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """moments of values that stand for weight rows each, without making these."""
+    x, w = F.col(value).cast("double"), F.col(weight)
+    sums = rows.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * x).alias("__s"), F.sum(w * x * x).alias("__q"), F.min(x).alias("min"), F.max(x).alias("max"))
+    spread = F.greatest(F.lit(0.0), F.col("__q") - F.col("__s") * F.col("__s") / F.col("n")) / (F.col("n") - 1)
+    return sums.withColumns({"mean": F.col("__s") / F.col("n"), "std": F.when(F.col("n") > 1, F.sqrt(spread)).otherwise(0.0)}).drop("__s", "__q")
+
+
 def checked_stats(stats: DataFrame, dim: int, width: str = "dim") -> DataFrame:
     """Statistics by dimension that can be used: fewer than two rows, a dimension without spread, or another number of dimensions is an error."""
     n, few, flat = stats.agg(F.count_distinct(width), F.count_if(F.col("n") < 2), F.count_if(~(F.col("std") > 0))).first()

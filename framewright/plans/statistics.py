@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewright.functions.scalar import digest, normalize
 from framewright.operators import statistics
 from framewright.operators.sampling import top_by_key
-from framewright.plans.tables import SERIES, rounded, series, table
+from framewright.plans.tables import SERIES, frames, rounded, series, table
 
 _DIMS = "dims AS (SELECT unnest(range(len(embedding)))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
@@ -149,7 +149,18 @@ def variant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VARIANTS = "SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL ORDER BY n DESC, p_type, p_brand LIMIT 12"
 
+def chunk_start_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics over the chunks of sixteen that start at every frame, tails filled up, from weights of the frames and not from chunks."""
+    rows = frames(spark, sf_dir).select("episode", "frame", "value")
+    rows = rows.join(rows.groupBy("episode").agg(F.count(F.lit(1)).alias("n")), "episode").withColumn("w", statistics.chunk_weight(F.col("frame"), F.col("n"), 16))
+    return rounded(statistics.weighted_moments(rows.drop("n"), ["episode"], "value", "w"), 4)
+
+
+_CHUNK_STATS = f"""WITH {SERIES}, s AS (SELECT episode, x, unnest(range(len(x))) AS s FROM series), c AS (SELECT episode, x, s, unnest(range(16)) AS k FROM s), v AS (SELECT episode, x[least(s + k, len(x) - 1) + 1] AS v FROM c)
+SELECT episode, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS "min", round(max(v), 4) AS "max" FROM v GROUP BY episode"""
+
 QUERIES = {
+    "chunk_start_stats": (chunk_start_stats, _CHUNK_STATS),
     "latent_moments_by_dim": (latent_moments_by_dim, _MOMENTS),
     "latent_quantiles_by_dim": (latent_quantiles_by_dim, _QUANTILES),
     "robot_schema_stats": (robot_schema_stats, _SCHEMA),
