@@ -1,34 +1,35 @@
-"""Near-duplicates by similarity: SimHash bands propose pairs, the exact Jaccard similarity of word shingles decides.
+"""Near-duplicates by similarity: SimHash bands let pairs meet, the exact Jaccard similarity of word shingles decides.
 
-A text is its set of shingles. Sixteen 64-bit SimHashes of the set are read as 64 bands of 16 bits; texts that share a
-band meet, and those that differ in few enough of the first 128 bits are proposed. At similarity 0.8 about 15 % of the
-bits differ, so one band is shared with probability 0.07, one of 64 with 0.99; at 0.85 with 0.999.
+A text is its set of shingles. Of sixteen 64-bit SimHashes of the set, bands are read: 64 of 16 bits each, and for corpora of millions of sets
+longer ones and more of them, so that few unlike sets share one at any size. At similarity 0.8 about 15 % of the
+bits differ, so one band of 16 is shared with probability 0.07, one of 64 with 0.99; at 0.85 with 0.999.
 
-Only distinct sets are sent. Where texts meet, a task reports the minimum spanning forest of the pairs that it proposes, by differing bits,
-and some more of each set's nearest, not all pairs. Pairs are checked on the sets themselves, so no link is below the similarity asked for: first
-each set's nearest, then what still joins two components, so that a crowd of near copies costs a few checks a set and not all that was proposed.
+Only distinct sets are sent. All pairs that meet are settled on the sets themselves (see meeting), so no link is below the similarity asked for, and none that meets is left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import hot_keys, one_row_each, spread_join, written
-from framewright.llm.simhash import CHUNK, HOMES, components, forest
+from framewright.llm.common import one_row_each, written
+from framewright.llm.meeting import links
+from framewright.llm.simhash import components
 
 #: Words of a shingle, and the least similarity of a link.
 WIDTH, SIMILARITY = 5, 0.8
-WORDS, BANDS = 16, 64
-#: Pairs of a set, beside the spanning forest's, that a task proposes at once.
-NEAREST = 8
-#: Rounds in which each set has one pair checked; then all pairs that still join two components are.
-ROUNDS = 6
+#: SimHashes of a set, and how many of them are its sketch.
+WORDS, SKETCH = 16, 4
+#: Bits of a band up to 2^22 sets, and the chance that two sets of the least similarity share none.
+BITS, MISSED = 16, 0.0085
+#: Standard deviations of the sketch's bits that a pair may be off.
+DEVIATIONS = 5
 #: Shingles whose bits are counted at once.
 _STEP = 4096
 _SALTS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -72,180 +73,82 @@ def set_key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64)) if len(hashes) else 0
 
 
-def radius(similarity: float, deviations: float) -> float:
-    """Differing bits, of 128, of two sets of this similarity: the mean and so many deviations."""
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return 128 * share + deviations * math.sqrt(128 * share * (1 - share))
-
-
-def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The edges a-b of the minimum spanning forest; ties go to the smaller nodes."""
-    order = np.lexsort((b, a, weight))
-    a, b, weight = a[order], b[order], weight[order]
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right, edge = at[: len(a)], at[len(a) :], np.arange(len(a))
-    taken = np.zeros(len(a), bool)
-    while len(edge):
-        best = np.full(len(nodes), len(a))
-        np.minimum.at(best, left, edge)
-        np.minimum.at(best, right, edge)
-        taken[best[best < len(a)]] = True
-        member, lowest = forest(left[taken[edge]], right[taken[edge]])
-        label = np.arange(len(nodes))
-        label[member] = lowest
-        left, right = label[left], label[right]
-        open_ = left != right
-        left, right, edge = left[open_], right[open_], edge[open_]
-    return a[taken], b[taken], weight[taken]
-
-
-def worth_checking(a: np.ndarray, b: np.ndarray, weight: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The minimum spanning forest, and each node's NEAREST edges between parts that edges of weight sure or less don't join.
-
-    The check may refute an edge of the forest, and another one over the same cut hold."""
-    tree = spanning(a, b, weight)
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right, low = at[: len(a)], at[len(a) :], weight <= sure
-    label = np.arange(len(nodes))
-    member, lowest = forest(left[low], right[low])
-    label[member] = lowest
-    open_ = np.flatnonzero(label[left] != label[right])
-    node, edge = np.concatenate([left[open_], right[open_]]), np.concatenate([open_, open_])
-    order = np.lexsort((weight[edge], node))
-    node, edge = node[order], edge[order]
-    more = np.unique(edge[np.arange(len(node)) - np.searchsorted(node, node) < NEAREST])
-    every = np.unique(np.stack([np.concatenate([t, e[more]]).astype(np.int64) for t, e in zip(tree, (a, b, weight))], 1), axis=0)
-    return tuple(every.T)
+def differing(similarity: float) -> float:
+    """The share of bits that differ between SimHashes of two sets of this similarity."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def radius(similarity: float) -> float:
+    """Differing bits of two such sets' sketches: the mean and DEVIATIONS."""
+    share, n = differing(similarity), 64 * SKETCH
+    return n * share + DEVIATIONS * math.sqrt(n * share * (1 - share))
+
+
+def band_places(n_sets: int, similarity: float) -> np.ndarray:
+    """Which bits of a set's SimHashes make each band, a row a band: longer with more sets, and as many as MISSED needs."""
+    bits = max(BITS, math.ceil(math.log2(max(2, n_sets))) - 6)
+    n = math.ceil(math.log(MISSED) / math.log1p(-((1 - differing(similarity)) ** bits)))
+    if bits * n <= 64 * WORDS:
+        return np.arange(bits * n).reshape(n, bits)
+    random = np.random.default_rng(bits)
+    return np.stack([random.choice(64 * WORDS, bits, replace=False) for _ in range(n)])
 
 
 def prints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set, bits: one row a row of docs; a null text has no words."""
+    """doc_id, set, n, prints: one row a row of docs; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py() or "", width) for x in batch.column(1)]
-            columns = [batch.column(0), pa.array([set_key(x) for x in found], pa.int64()), pa.array([simhashes(x) for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "bits"])
+            columns = [batch.column(0), pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([simhashes(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "n", "prints"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, set long, bits binary")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, set long, n int, prints binary")
 
 
-def proposed(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: set, bits, distinct. (a, b, apart), a < b: pairs that may be similar, those worth checking, and how many of the first 128 bits differ."""
+def banded(sets: DataFrame, similarity: float) -> DataFrame:
+    """set, n, first, bands, bits: the bands of sets (set, n, first, prints) that so many sets need."""
+    where = band_places(sets.count(), similarity)
+    n, width = where.shape
+    weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    schema = pa.schema([("set", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("bands", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
+    lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
-                bits = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                anchor = bits.view("<u2").astype(np.int64) | np.arange(BANDS) << 16
-                x, y = bits[:, :8].copy().view(np.int64)[:, 0], bits[:, 8:16].copy().view(np.int64)[:, 0]
-                columns = [anchor.ravel(), *(np.repeat(c, BANDS) for c in (part.column(0).to_numpy(), x, y))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "set", "x", "y"])
-
-    sent = sets.where("set <> 0").select("set", "bits").mapInArrow(send, "anchor long, set long, x long, y long")
-    crowded = sent.groupBy("anchor").count().where(F.col("count") > HOMES)
-    crowded = written(crowded.select("anchor", F.ceil(F.col("count") / HOMES).cast("int").alias("parts")), "similar-crowded")
-    # home 2: compared with all others of the anchor; a crowded anchor's rows are at home (1) in one part and visit (0) all
-    at = lambda part, home: F.struct(part.cast("int").alias("part"), F.lit(home).cast("byte").alias("home"))
-    parts = F.concat(F.array(at(F.pmod(F.xxhash64("set"), F.col("parts")), 1)), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: at(p, 0)))
-    dealt = F.when(F.col("parts").isNull(), F.array(at(F.lit(0), 2))).otherwise(parts)
-    rows = sent.join(crowded, "anchor", "left").select("anchor", "set", "x", "y", F.explode(dealt).alias("to")).select("anchor", "set", "x", "y", "to.part", "to.home")
-    rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
-    most, sure = radius(similarity, 5), radius(similarity, -2.5)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)  # homes of the group that the last batch ended in: key, set, x, y
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, own, x, y, part, home = (c.to_numpy() for c in batch.columns)
-            all_rows = np.stack([anchor * 65536 + part, own, x, y], 1)
-            homes = np.concatenate([held, all_rows[home >= 1]])
-            homes = homes[np.argsort(homes[:, 0], kind="stable")]
-            visits = all_rows[home != 1]
-            first = np.searchsorted(homes[:, 0], visits[:, 0])
-            total = np.concatenate([[0], np.cumsum(np.searchsorted(homes[:, 0], visits[:, 0], "right") - first)])
-            begin, found = 0, []
-            while begin < len(visits):
-                end = max(begin + 1, int(np.searchsorted(total, total[begin] + CHUNK, "right")) - 1)
-                v = np.repeat(np.arange(begin, end), np.diff(total[begin : end + 1]))
-                h = np.arange(len(v)) - np.repeat(total[begin:end] - total[begin] - first[begin:end], np.diff(total[begin : end + 1]))
-                bits = sum(np.bitwise_count((visits[v, k] ^ homes[h, k]).view(np.uint64)) for k in (2, 3))
-                near = (bits <= most) & (visits[v, 1] != homes[h, 1])
-                if near.any():
-                    a, b = visits[v[near], 1], homes[h[near], 1]
-                    found.append(worth_checking(np.minimum(a, b), np.maximum(a, b), bits[near], sure))
-                begin = end
-            if found:
-                found = worth_checking(*(np.concatenate(c) for c in zip(*found)), sure)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "apart"])
-            held = homes[homes[:, 0] == all_rows[-1, 0]]
-
-    return rows.mapInArrow(compare, "a long, b long, apart long").distinct()
-
-
-def shingle_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """set, hashes: the shingles of the sets in pairs. sets: set and first, the id of a document that has it."""
+                raw = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1)
+                bands = np.stack([bits[:, at].astype(np.uint64) @ weights for at in where], 1)
+                if width > 32:
+                    bands = bands * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                sketch = raw[:, : 8 * SKETCH].copy().view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists(bands.astype(np.uint32).view(np.int32), pa.int32()), lists(sketch, pa.int64())], schema=schema)
+
+    return sets.select("set", "n", "first", "prints").mapInArrow(run, "set long, n int, first long, bands array<int>, bits array<long>")
+
+
+def gathered(some: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """set, hashes: the shingles of some sets: set and first, the id of a document that has it."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(s, x) for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if set_key(x := shingles(t or "", width)) == s]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["set", "hashes"])
 
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets, "set").select("set", "first")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = wanted.join(texts, F.col("first").eqNullSafe(F.col("doc_id"))).select("set", "text").mapInArrow(gather, "set long, hashes binary")
+    held = some.join(texts, F.col("first").eqNullSafe(F.col("doc_id"))).select("set", "text").mapInArrow(gather, "set long, hashes binary")
     return held.dropDuplicates(["set"])
 
 
-def checked(pairs: DataFrame, held: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Of the n pairs a, b those whose sets (held: set, hashes) have the similarity. A set in very many pairs is dealt over tasks."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for u, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                kept.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    rows = spread_join(pairs.select("a", "b"), held.select(F.col("set").alias("a"), F.col("hashes").alias("u")), "a", "b", hot_keys(pairs, "a", n))
-    rows = spread_join(rows, held.select(F.col("set").alias("b"), F.col("hashes").alias("v")), "b", "a", hot_keys(pairs, "b", n))
-    return rows.select("a", "b", "u", "v").mapInArrow(check, "a long, b long")
-
-
-def true_links(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """pairs: a, b, apart. (a, b): pairs of the similarity that join all that the pairs of the similarity join.
-
-    A round checks each set's nearest pair between two components of the links found so far; pairs within a component
-    need no check. When the rest is no larger than a round, or after ROUNDS, all of it is checked.
-    """
-    left, found = pairs, None
-    for _ in range(ROUNDS):
-        ends = left.select(F.col("a").alias("node"), "a", "b", "apart").union(left.select("b", "a", "b", "apart"))
-        nearest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-        nearest = written(nearest, "similar-nearest")
-        n = nearest.count()
-        more = written(checked(nearest, held, similarity, n), "similar-links")
-        found = more if found is None else found.unionByName(more)
-        rest, labels = left.join(nearest, ["a", "b"], "left_anti"), components(found, "a", "b")
-        for end in ("a", "b"):
-            rest = rest.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-        left = written(rest.where("of_a <> of_b").select("a", "b", "apart"), "similar-left")
-        if (m := left.count()) <= n:
-            break
-    return found.unionByName(checked(left, held, similarity, m)) if m else found
-
-
 def similar_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id and set of each row; sets: set, first, the smallest id that has it; links: a, b, sets of at least this similarity)."""
     rows = written(prints(docs, width), "similar-prints")
-    sets = written(rows.groupBy("set", "bits").agg(F.min("doc_id").alias("first")), "similar-distinct")
-    pairs = written(proposed(sets, similarity), "similar-pairs")
-    held = written(shingle_sets(pairs, sets, docs, width), "similar-sets")
-    return rows.select("doc_id", "set"), sets.select("set", "first"), written(true_links(pairs, held, similarity), "similar-links")
+    sets = written(rows.groupBy("set", "n", "prints").agg(F.min("doc_id").alias("first")), "similar-distinct")
+    bands = written(banded(sets, similarity), "similar-bands")
+    found = links(bands, lambda some: gathered(some, docs, width), Fraction(str(similarity)), radius(similarity))
+    return rows.select("doc_id", "set"), sets.select("set", "first"), found.select(F.col("set").alias("a"), F.col("pivot").alias("b"))
 
 
 def without_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
