@@ -2,8 +2,9 @@
 
 A text's set of shingles becomes places in a universe of 2^22: a first permutation spreads them, and all coordinates of the
 signature come from one more permutation, shifted by one place for each: coordinate k is the least value that the second permutation has k
-places behind one of the set's. Six coordinates make a band, taken far apart as neighbouring shifts see near places. At
-similarity 0.85 a pair shares none of the 42 bands with a chance of 2e-9, and is then checked on the full sets (see meeting).
+places behind one of the set's. Six coordinates make a band, taken far apart as neighbouring shifts see near places; in corpora of
+millions more, so that unlike sets, whose pairs grow with the square of their number, rarely share one. There are as many bands as it takes for two sets of the least
+similarity to share none with a chance of 2e-9 (43 at 0.85). Pairs that share one are settled on the full sets (see meeting).
 """
 
 from __future__ import annotations
@@ -23,20 +24,25 @@ from framewright.llm.meeting import links
 from framewright.llm.similar import gathered, set_key, shingles
 from framewright.llm.simhash import components
 
-#: Bits of the universe; bands, and coordinates of each.
-UNIVERSE, BANDS, ROWS = 22, 42, 6
+#: Bits of the universe, and coordinates whose bits make the sketch.
+UNIVERSE, SKETCH = 22, 256
+#: The chance that two sets of the least similarity share no band.
+MISSED = 2e-9
 #: Members of a set whose coordinates are compared at once.
 STEP = 2048
-#: Standard deviations of its sketch's bits that a pair may be off.
-DEVIATIONS = 5
-_ODD = np.array([2 * k + 1 for k in range(1, ROWS + 1)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+
+
+def shape(n_docs: int, least: Fraction) -> tuple[int, int]:
+    """(coordinates of a band, bands) for so many documents."""
+    rows = 6 if n_docs < 1 << 20 else 8 if n_docs < 1 << 26 else 10 if n_docs < 1 << 32 else 12
+    return rows, max(-(-SKETCH // rows), math.ceil(math.log(MISSED) / math.log1p(-(float(least) ** rows)))) if least < 1 else -(-SKETCH // rows)
 
 
 @cache
-def shifted() -> np.ndarray:
-    """The second permutation, continued by its beginning; row v has the values from place v on."""
+def shifted(n: int) -> np.ndarray:
+    """The second permutation, continued by its beginning; row v has the n values from place v on."""
     order = np.random.default_rng(22).permutation(1 << UNIVERSE).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: BANDS * ROWS - 1]]), BANDS * ROWS)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: n - 1]]), n)
 
 
 def places(hashes: np.ndarray) -> np.ndarray:
@@ -49,50 +55,45 @@ def places(hashes: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The coordinates of a set that isn't empty."""
-    out = np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
+def signature(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n coordinates of a set that isn't empty."""
+    out = np.full(n, np.uint32(0xFFFFFFFF))
     at = places(hashes)
     for s in range(0, len(at), STEP):
-        out = np.minimum(out, shifted()[at[s : s + STEP]].min(0))
+        out = np.minimum(out, shifted(n)[at[s : s + STEP]].min(0))
     return out
 
 
-def bands_and_bits(coordinates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 32-bit value a band, and a sketch with a bit of each coordinate."""
+def bands_and_bits(coordinates: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 32-bit value a band, and a sketch with a bit of each of the first coordinates."""
     x = coordinates.astype(np.uint64)
-    bands = (x.reshape(ROWS, BANDS) * _ODD[:, None]).sum(0, dtype=np.uint64)
+    odd = np.arange(3, 2 * rows + 3, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    bands = (x.reshape(rows, -1) * odd[:, None]).sum(0, dtype=np.uint64)
     bands = (bands ^ bands >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
-    bits = np.packbits(((x * np.uint64(0x94D049BB133111EB)) >> np.uint64(63)).astype(np.uint8))
-    return bands.astype(np.uint32).view(np.int32), np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view(np.int64)
+    bits = np.packbits(((x[:SKETCH] * np.uint64(0x94D049BB133111EB)) >> np.uint64(63)).astype(np.uint8))
+    return bands.astype(np.uint32).view(np.int32), bits.view(np.int64)
 
 
-def prints(docs: DataFrame, width: int) -> DataFrame:
+def prints(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     """doc_id, set, n, bands, bits: one row a row of docs; a null text has no words."""
     schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[int, tuple] = {}
-            rows = []
+            found = []
             for text in batch.column(1):
                 members = shingles(text.as_py() or "", width)
                 key = set_key(members)
                 if key not in known:
-                    known[key] = (key, len(members), *(bands_and_bits(signature(members)) if len(members) else ([], [])))
-                rows.append(known[key])
-            columns = [pa.array([r[k] for r in rows], schema.types[k + 1]) for k in range(4)]
+                    known[key] = (key, len(members), *(bands_and_bits(signature(members, rows * bands), rows) if len(members) else ([], [])))
+                found.append(known[key])
+            columns = [pa.array([r[k] for r in found], schema.types[k + 1]) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, set long, n int, bands array<int>, bits array<long>")
 
 
-def radius(least: Fraction) -> float:
-    """Differing bits of the sketches of two sets of this similarity: the mean and DEVIATIONS."""
-    share, n = float(1 - least) / 2, BANDS * ROWS
-    return n * share + DEVIATIONS * math.sqrt(n * share * (1 - share))
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, least: Fraction = Fraction(85, 100)) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (whether that is its own).
 
@@ -101,10 +102,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: Fraction = Fraction(
     a row each. Null ids are left out of the minimum: a component of nothing else has a null id, and is kept. Other columns aren't read.
     An empty table gives an empty result.
     """
-    rows = written(prints(docs, width), "circulant-prints")
+    rows = written(prints(docs, width, *shape(docs.count(), least)), "circulant-prints")
     sets = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     sets = written(sets, "circulant-sets")
-    found = links(sets, lambda some: gathered(some, docs, width), least, radius(least))
+    found = links(sets, lambda some: gathered(some, docs, width), least, float(1 - least) / 2)
     labels = components(found, "set", "pivot").withColumnRenamed("node", "set")
     joined = written(labels.join(sets.select("set", "first"), "set"), "circulant-labels")
     lowest = joined.groupBy("label").agg(F.min("first").alias("lowest"))

@@ -4,16 +4,20 @@ Two sets meet where they have the same value in a band. Whoever calls this choos
 few bits by which most others are told apart. Every pair that meets and whose sketches are near enough is then settled: it is checked
 on the full sets, or links join its two sets already. Nothing is cut off, and no list of pairs is made:
 
-1. each set is checked against the nearest of its bands' smallest sets, one pair a set, which joins most of a crowd of near copies;
-2. where sets of different components still meet, a task compares their sketches, each pair in the first band that it shares, and tells
-   which sets have an open pair there;
-3. those sets, and no others, are brought to that place, and all their open pairs are checked there. A task reports a forest of the links.
+1. where very many sets meet, each is checked against the nearest of the smallest sets that it meets, one pair a set, which joins most of a crowd of near copies;
+2. a task compares the first bits of the sketches of sets that meet and aren't joined yet, and tells which sets are near some other there. Most
+   that meet by chance end here;
+3. each of those sets is checked against the nearest of the smallest sets there;
+4. where sets of different components are still near, whole sketches are compared, each pair in the first band that it shares, which leaves
+   the sets that have an open pair there;
+5. those sets, and no others, are brought to that place, and all their open pairs are checked there. A task reports a forest of the links.
 
 A band value of very many sets is divided over tasks. What a crowd costs beyond its rows is comparing those of its sets that no link has joined.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,6 +33,8 @@ from framewright.llm.simhash import components, forest
 HOMES, WEIGHT = 2048, 1 << 20
 #: Pairs of sketches, and of band lists, compared at once.
 CHUNK, SLICE = 1 << 19, 1 << 15
+#: Longs of a sketch that the first comparison reads, and standard deviations of its bits that a pair may be off.
+FIRST, DEVIATIONS = 2, 5
 SETS = "set long, n int, first long, bands array<int>, bits array<long>"
 
 
@@ -42,15 +48,52 @@ def apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def shared_bands(sets: DataFrame) -> DataFrame:
-    """anchor, set, n, pivot: a row for each band of a set whose value other sets have too; pivot is the smallest of them."""
-    sent = sets.where("n > 0").select("set", "n", F.posexplode("bands").alias("band", "value"))
-    sent = sent.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("value") + F.lit(1 << 31)).alias("anchor"), "set", "n")
-    met = sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets"), F.min("set").alias("pivot")).where("sets > 1")
-    met = written(met, "meeting-anchors")
-    # a value of very many sets is dealt over tasks
-    hot = written(met.where(F.col("sets") > 1 << 20).select("anchor", F.ceil(F.col("sets") / (1 << 20)).cast("int").alias("__parts")), "meeting-hot")
-    return spread_join(sent, met.select("anchor", "pivot"), "anchor", "set", None if hot.isEmpty() else hot)
+def radius(share: float, n: int) -> float:
+    """Differing bits, of n, of two sets that differ in this share of bits: the mean and DEVIATIONS."""
+    return n * share + DEVIATIONS * math.sqrt(n * share * (1 - share))
+
+
+def sent(sets: DataFrame) -> DataFrame:
+    """anchor, set, n, bits: a row for each band of each set; an anchor is a band and its value."""
+    rows = sets.where("n > 0").select("set", "n", "bits", F.posexplode("bands").alias("band", "value"))
+    return rows.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("value") + F.lit(1 << 31)).alias("anchor"), "set", "n", "bits")
+
+
+def hot_anchors(anchors: DataFrame) -> DataFrame | None:
+    """Of anchors (anchor, sets) those whose rows a join deals over tasks, with the number of parts; None without any."""
+    hot = anchors.where(F.col("sets") > 1 << 20).select("anchor", F.ceil(F.col("sets") / (1 << 20)).cast("int").alias("__parts"))
+    hot = written(hot, "meeting-hot")
+    return None if hot.isEmpty() else hot
+
+
+def star(rows: DataFrame, hot: DataFrame | None, sets: DataFrame, gather, least: Fraction, within: float) -> DataFrame:
+    """rows: anchor, set. (set, pivot): links of each set with the nearest of its anchors' smallest sets, where that is similar enough."""
+    pivots = rows.groupBy("anchor").agg(F.min("set").alias("pivot"))
+    pairs = spread_join(rows.select("anchor", "set"), pivots, "anchor", "set", hot).where("set <> pivot").select("set", "pivot").distinct()
+    pairs = written(pairs, "meeting-pairs")
+    sketch = lambda key: sets.select(F.col("set").alias(key), F.col("bits").alias(f"{key}_bits"))
+    pairs = spread_join(pairs, sketch("pivot"), "pivot", "set", hot_keys(pairs, "pivot", pairs.count())).join(sketch("set"), "set")
+    pairs = pairs.select("set", "pivot", apart(F.col("set_bits"), F.col("pivot_bits")).alias("apart")).where(F.col("apart") <= within)
+    nearest = pairs.groupBy("set").agg(F.min(F.struct("apart", "pivot")).alias("e")).select("set", F.col("e.pivot").alias("pivot"))
+    nearest = written(nearest, "meeting-nearest")
+    held = written(gather(nearest.select("set").union(nearest.select("pivot"))), "meeting-sets")
+    return written(checked(nearest, held, least), "meeting-links")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of each anchor and part in one task: those at home (role 1) first, of larger sets first. rows: parts (null: 1) and the columns that go along.
+    A row is at home in one part of its anchor, and visits (role 0) the later ones, so that each pair meets once."""
+    at = lambda part, role: F.struct(part.cast("int").alias("part"), F.lit(role).cast("byte").alias("role"))
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")))
+    later = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p > F.col("own")), lambda p: at(p, 0))
+    rows = rows.withColumn("to", F.explode(F.concat(F.array(at(F.col("own"), 1)), later)))
+    rows = rows.select("anchor", "to.part", "to.role", *[c for c in rows.columns if c not in ("anchor", "parts", "own", "to")])
+    return sorted_places(rows)
+
+
+def sorted_places(rows: DataFrame) -> DataFrame:
+    return rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("role"), F.desc("set"))
 
 
 def checked(pairs: DataFrame, held: DataFrame, least: Fraction) -> DataFrame:
@@ -84,30 +127,32 @@ def _matrix(column: pa.ListArray, kind: str) -> np.ndarray:
 
 
 def _open_pairs(rows: dict, homes: dict, visits: np.ndarray, first: np.ndarray, counts: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
-    """(visit, home) of pairs that are to be checked: of different components, of near sketches, and here in the first band that they share.
+    """(visit, home) of pairs that are to be checked: of different components, of near sketches, and here in the first band that they share (where rows have their bands).
     Visit k of rows meets counts[k] of homes from first[k] on."""
     v = np.repeat(visits, counts)
     h = np.arange(len(v)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-    # of two sets that meet as equals, one visits the other
-    keep = (rows["label"][v] != homes["label"][h]) & ((rows["role"][v] != 2) | (rows["set"][v] < homes["set"][h]))
+    # of two sets at home, one visits the other
+    keep = (rows["label"][v] != homes["label"][h]) & ((rows["role"][v] == 0) | (rows["set"][v] < homes["set"][h]))
     v, h = v[keep], h[keep]
     bits = np.zeros(len(v), np.int64)
     for k in range(rows["bits"].shape[1]):
         bits += np.bitwise_count(rows["bits"][v, k] ^ homes["bits"][h, k])
     v, h = v[bits <= within], h[bits <= within]
+    if rows["bands"] is None:
+        return v, h
     keep = _first_shared(rows["bands"], v, homes["bands"], h, rows["key"][v] >> 48)
     return v[keep], h[keep]
 
 
 def _columns(batch: pa.RecordBatch) -> dict:
-    anchor, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    return {
-        "key": anchor << 16 | part, "role": batch.column(2).to_numpy(), "set": batch.column(3).to_numpy(), "label": batch.column(4).to_numpy(),
-        "bits": _matrix(batch.column(5), "int64").view(np.uint64), "bands": _matrix(batch.column(6), "int32"),
-    }
+    at = {c: batch.column(c).to_numpy() for c in ("anchor", "part", "role", "set", "label")}
+    first = [c for c in batch.schema.names if c.startswith("bits_")]
+    bits = np.stack([batch.column(c).to_numpy() for c in first], 1) if first else _matrix(batch.column("bits"), "int64")
+    bands = None if first else _matrix(batch.column("bands"), "int32")
+    return at | {"key": at["anchor"] << 16 | at["part"], "bits": bits.view(np.uint64), "bands": bands}
 
 
-_PLACE = "anchor long, part int, role byte, set long, label long, bits array<long>, bands array<int>"
+_PLACE = "anchor long, part int, role byte, set long, label long"
 
 
 def _needed(within: float):
@@ -119,13 +164,13 @@ def _needed(within: float):
             if not batch.num_rows:
                 continue
             at = _columns(batch)
-            own = pa.Table.from_batches([batch]).filter(pa.array(at["role"] >= 1))
+            own = pa.Table.from_batches([batch]).filter(pa.array(at["role"] == 1))
             table = (pa.concat_tables([held, own]) if held is not None else own).combine_chunks()
             if table.num_rows:
                 homes = _columns(table.to_batches()[0])
-                visits = np.flatnonzero(at["role"] != 1)
-                first = np.searchsorted(homes["key"], at["key"][visits])
-                counts = np.searchsorted(homes["key"], at["key"][visits], "right") - first
+                visits = np.arange(batch.num_rows)
+                first = np.searchsorted(homes["key"], at["key"])
+                counts = np.searchsorted(homes["key"], at["key"], "right") - first
                 total = np.concatenate([[0], np.cumsum(counts)])
                 begin, of_visits, of_homes = 0, np.zeros(batch.num_rows, bool), np.zeros(table.num_rows, bool)
                 while begin < len(visits):
@@ -175,21 +220,21 @@ def _settle(least: Fraction, within: float):
             return None
 
         def ended() -> Iterator[pa.RecordBatch]:
-            if homes is not None and homes["role"][0] == 2 and (out := compare(homes, sets)) is not None:
+            if homes is not None and (out := compare(homes, sets)) is not None:
                 yield out
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             at = _columns(batch)
-            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(7)]
-            cuts = np.flatnonzero((np.diff(at["key"]) != 0) | ((at["role"][1:] >= 1) != (at["role"][:-1] >= 1))) + 1
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
+            cuts = np.flatnonzero((np.diff(at["key"]) != 0) | (np.diff(at["role"]) != 0)) + 1
             for s, e in zip([0, *cuts], [*cuts, batch.num_rows]):
                 rows, own = {c: x[s:e] for c, x in at.items()}, hashes[s:e]
                 if rows["key"][0] != key:
                     yield from ended()
                     key, homes, sets, words = rows["key"][0], None, [], None
-                if rows["role"][0] >= 1:
+                if rows["role"][0] == 1:
                     homes = rows if homes is None else {c: np.concatenate([homes[c], rows[c]]) for c in homes}
                     sets.extend(x.copy() for x in own)
                 elif homes is not None and (out := compare(rows, own)) is not None:
@@ -199,37 +244,42 @@ def _settle(least: Fraction, within: float):
     return run
 
 
-def links(sets: DataFrame, gather, least: Fraction, within: float) -> DataFrame:
-    """sets: SETS, a row a set. gather(some: set, first) gives (set, hashes: binary) of some sets. (set, pivot): links that join all sets joined by
-    chains of pairs that meet in a band, differ in at most within bits of their sketches, and have at least this Jaccard similarity."""
-    shared = written(shared_bands(sets), "meeting-shared")
-    sketch = lambda key: sets.select(F.col("set").alias(key), F.col("bits").alias(f"{key}_bits"))
-    pairs = written(shared.where("set <> pivot").select("set", "pivot").distinct(), "meeting-pairs")
-    pairs = spread_join(pairs, sketch("pivot"), "pivot", "set", hot_keys(pairs, "pivot", pairs.count())).join(sketch("set"), "set")
-    pairs = pairs.select("set", "pivot", apart(F.col("set_bits"), F.col("pivot_bits")).alias("apart")).where(F.col("apart") <= within)
-    nearest = pairs.groupBy("set").agg(F.min(F.struct("apart", "pivot")).alias("e")).select("set", F.col("e.pivot").alias("pivot"))
-    nearest = written(nearest, "meeting-nearest")
+def links(sets: DataFrame, gather, least: Fraction, share: float) -> DataFrame:
+    """sets: SETS, a row a set. gather(some: set, first) gives (set, hashes: binary) of some sets; share: of the bits of sketches, that differ between
+    sets of the least similarity. (set, pivot): links that join all sets joined by chains of pairs that meet in a band, have near sketches, and have at least this
+    Jaccard similarity."""
+    n_bits = 64 * (sets.agg(F.max(F.size("bits"))).first()[0] or FIRST)
+    within = radius(share, n_bits)
     wanted = lambda some: gather(some.distinct().join(sets.select("set", "first"), "set"))
-    held = written(wanted(nearest.select("set").union(nearest.select("pivot"))), "meeting-sets")
-    found = written(checked(nearest, held, least), "meeting-links")
-
+    rows = sent(sets)
+    crowded = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > HOMES)
+    crowded = written(crowded, "meeting-crowded")
+    first, hot = None, hot_anchors(crowded)
+    rows = rows.withColumn("label", F.col("set"))
+    parts = crowded.select("anchor", F.ceil(F.col("sets") / HOMES).cast("int").alias("parts"))
+    if not crowded.isEmpty():
+        first = star(rows.join(crowded.select("anchor"), "anchor", "left_semi"), hot, sets, wanted, least, within)
+        labels = components(first, "set", "pivot").select(F.col("node").alias("set"), F.col("label").alias("of"))
+        rows = rows.join(labels, "set", "left").withColumn("label", F.coalesce("of", "set")).drop("of")
+    rows = spread_join(rows, parts, "anchor", "set", hot, "left")
+    few = [F.get("bits", F.lit(k)).alias(f"bits_{k}") for k in range(FIRST)]
+    schema = _PLACE + "".join(f", bits_{k} long" for k in range(FIRST))
+    near = placed(rows.select("anchor", "set", "label", *few, "parts")).mapInArrow(_needed(radius(share, 64 * FIRST)), schema)
+    near = written(near.select("anchor", "set").distinct(), "meeting-near")
+
+    found = star(near, hot, sets, wanted, least, within)
+    found = found if first is None else found.unionByName(first)
     labels = components(found, "set", "pivot").withColumnRenamed("node", "set")
-    labelled = written(shared.drop("pivot").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "meeting-labelled")
+    labelled = near.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")).join(sets.select("set", "n"), "set")
+    labelled = written(labelled, "meeting-labelled")
     open_ = labelled.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     parts = F.greatest(F.ceil(F.col("sets") / HOMES), F.ceil(F.col("weight") / WEIGHT)).cast("int")
     open_ = written(open_.select("anchor", "sets", parts.alias("parts")), "meeting-open")
-    hot = written(open_.where(F.col("sets") > 1 << 20).select("anchor", F.ceil(F.col("sets") / (1 << 20)).cast("int").alias("__parts")), "meeting-hot")
-    rows = spread_join(labelled, open_.select("anchor", "parts"), "anchor", "set", None if hot.isEmpty() else hot)
-    rows = rows.join(sets.select("set", "bits", "bands"), "set")
-    # role 2: compared with all others of the place; where it is divided, a row is at home (1) in one part and visits (0) each
-    at = lambda part, role: F.struct(part.cast("int").alias("part"), F.lit(role).cast("byte").alias("role"))
-    several = F.concat(F.array(at(F.pmod(F.xxhash64("set"), F.col("parts")), 1)), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: at(p, 0)))
-    rows = rows.withColumn("to", F.explode(F.when(F.col("parts") == 1, F.array(at(F.lit(0), 2))).otherwise(several)))
-    rows = rows.select("anchor", "to.part", "to.role", "set", "label", "bits", "bands")
-    placed = lambda df: df.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("role"), F.desc("set"))
-    needed = placed(rows).mapInArrow(_needed(within), _PLACE).dropDuplicates(["anchor", "part", "role", "set"])
+    rows = spread_join(labelled, open_.select("anchor", "parts"), "anchor", "set", hot_anchors(open_))
+    rows = rows.join(sets.select("set", "bits", "bands"), "set").select("anchor", "set", "label", "bits", "bands", "parts")
+    needed = placed(rows).mapInArrow(_needed(within), _PLACE + ", bits array<long>, bands array<int>").dropDuplicates(["anchor", "part", "role", "set"])
     needed = written(needed, "meeting-needed")
     held = written(wanted(needed.select("set")), "meeting-sets")
-    brought = placed(needed.join(held, "set").select("anchor", "part", "role", "set", "label", "bits", "bands", "hashes"))
+    brought = sorted_places(needed.join(held, "set").select("anchor", "part", "role", "set", "label", "bits", "bands", "hashes"))
     more = brought.mapInArrow(_settle(least, within), "set long, pivot long")
     return written(found.unionByName(more), "meeting-links")

@@ -28,8 +28,6 @@ WIDTH, SIMILARITY = 5, 0.8
 WORDS, SKETCH = 16, 4
 #: Bits of a band up to 2^22 sets, and the chance that two sets of the least similarity share none.
 BITS, MISSED = 16, 0.0085
-#: Standard deviations of the sketch's bits that a pair may be off.
-DEVIATIONS = 5
 #: Shingles whose bits are counted at once.
 _STEP = 4096
 _SALTS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -78,12 +76,6 @@ def differing(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def radius(similarity: float) -> float:
-    """Differing bits of two such sets' sketches: the mean and DEVIATIONS."""
-    share, n = differing(similarity), 64 * SKETCH
-    return n * share + DEVIATIONS * math.sqrt(n * share * (1 - share))
-
-
 def band_places(n_sets: int, similarity: float) -> np.ndarray:
     """Which bits of a set's SimHashes make each band, a row a band: longer with more sets, and as many as MISSED needs."""
     bits = max(BITS, math.ceil(math.log2(max(2, n_sets))) - 6)
@@ -147,7 +139,7 @@ def similar_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     rows = written(prints(docs, width), "similar-prints")
     sets = written(rows.groupBy("set", "n", "prints").agg(F.min("doc_id").alias("first")), "similar-distinct")
     bands = written(banded(sets, similarity), "similar-bands")
-    found = links(bands, lambda some: gathered(some, docs, width), Fraction(str(similarity)), radius(similarity))
+    found = links(bands, lambda some: gathered(some, docs, width), Fraction(str(similarity)), differing(similarity))
     return rows.select("doc_id", "set"), sets.select("set", "first"), found.select(F.col("set").alias("a"), F.col("pivot").alias("b"))
 
 

@@ -1,11 +1,12 @@
 """Circulant MinHash near-duplicates against all pairs of whole sets."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from framewright.llm import common, meeting
-from framewright.llm.circulant import BANDS, ROWS, UNIVERSE, bands_and_bits, near_duplicates, places, signature
+from framewright.llm.circulant import SKETCH, UNIVERSE, bands_and_bits, near_duplicates, places, shape, signature
 
 
 def shingle_set(text):
@@ -69,14 +70,16 @@ def test_empty_table_and_nothing_alike(table):
 
 def test_coordinates_estimate_similarity():
     """Coordinates agree as often as sets have members in common, as with independent permutations; pairs at the least similarity share a band."""
+    rows, bands = shape(1000, Fraction(85, 100))
+    assert (rows, bands) == (6, 43)
     r = np.random.default_rng(3)
     shares, met = [], 0
     for _ in range(300):
         members = r.integers(0, 1 << 63, 215, dtype=np.uint64)
         a, b = np.unique(members[:200]), np.unique(np.concatenate([members[15:200], members[200:215]]))  # 185 of 215: 0.86
-        x, y = signature(a), signature(b)
+        x, y = signature(a, rows * bands), signature(b, rows * bands)
         shares.append((x == y).mean())
-        met += bool((bands_and_bits(x)[0] == bands_and_bits(y)[0]).any())
+        met += bool((bands_and_bits(x, rows)[0] == bands_and_bits(y, rows)[0]).any())
     assert abs(np.mean(shares) - 185 / 215) < 0.01 and np.std(shares) < 0.03 and met == 300
 
 
@@ -86,4 +89,11 @@ def test_first_permutation_and_shift():
     one = np.array([12345], np.uint64)
     at = int(places(one)[0])
     order = np.random.default_rng(22).permutation(1 << UNIVERSE)
-    assert signature(one).tolist() == [order[(at + k) % (1 << UNIVERSE)] for k in range(BANDS * ROWS)]
+    assert signature(one, 600).tolist() == [order[(at + k) % (1 << UNIVERSE)] for k in range(600)]
+
+
+def test_bands_for_any_number_of_documents():
+    for n in (0, 10**6, 10**8, 10**10):
+        for least in (Fraction(1, 2), Fraction(85, 100), Fraction(1)):
+            rows, bands = shape(n, least)
+            assert rows * bands >= SKETCH and (least == 1 or (1 - float(least) ** rows) ** bands <= 2.1e-9)
