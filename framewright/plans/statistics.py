@@ -149,18 +149,35 @@ def variant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VARIANTS = "SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL ORDER BY n DESC, p_type, p_brand LIMIT 12"
 
+
 def chunk_start_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics over the chunks of sixteen that start at every frame, tails filled up, from weights of the frames and not from chunks."""
-    rows = frames(spark, sf_dir).select("episode", "frame", "value")
+    """Statistics, in hundredths, over the chunks of sixteen that start at every frame, tails filled up, from weights of the frames and not from chunks. Sums of
+    hundredths are exact, so the mean isn't rounded."""
+    rows = frames(spark, sf_dir).select("episode", "frame", F.round(F.col("value") * 100).alias("x"))
     rows = rows.join(rows.groupBy("episode").agg(F.count(F.lit(1)).alias("n")), "episode").withColumn("w", statistics.chunk_weight(F.col("frame"), F.col("n"), 16))
-    return rounded(statistics.weighted_moments(rows.drop("n"), ["episode"], "value", "w"), 4)
+    return statistics.weighted_moments(rows.drop("n"), ["episode"], "x", "w").withColumn("std", F.round("std", 5))
+
+
+_CHUNK_STATS = f"""WITH {SERIES}, s AS (SELECT episode, x, unnest(range(len(x))) AS s FROM series), c AS (SELECT episode, x, s, unnest(range(16)) AS k FROM s), v AS (SELECT episode, round(x[least(s + k, len(x) - 1) + 1] * 100) AS v FROM c)
+SELECT episode, count(*) AS n, sum(v::BIGINT)::DOUBLE / count(*) AS mean, round(stddev_samp(v), 5) AS std, min(v) AS "min", max(v) AS "max" FROM v GROUP BY episode"""
+
+
+def hash_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty lines of each ship date's year with the least keys, by way of reservoirs of parts that are merged; here the sample's sizes, and its parts' sums, which no split changes."""
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), (F.col("l_orderkey") % 3).alias("part"), "l_orderkey", "l_linenumber", "l_quantity")
+    parts = statistics.reservoir(rows, ["year", "part"], "l_quantity", ["l_orderkey", "l_linenumber"], 40)
+    merged, once = statistics.merge_reservoirs(parts, ["year"], 40), statistics.reservoir(rows, ["year"], "l_quantity", ["l_orderkey", "l_linenumber"], 40)
+    sums = [df.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.bit_xor("key").alias("k")) for df in (merged, once)]
+    whole = rows.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    a, b = sums[0], sums[1].withColumnsRenamed({"n": "n2", "s": "s2", "k": "k2"})
+    return whole.join(a, "year").join(b, "year").select("year", "rows", "n", ((F.col("n") == F.col("n2")) & (F.col("s") == F.col("s2")) & (F.col("k") == F.col("k2"))).alias("same"), F.expr("s / n BETWEEN lo AND hi").alias("inside"))
 
 
-_CHUNK_STATS = f"""WITH {SERIES}, s AS (SELECT episode, x, unnest(range(len(x))) AS s FROM series), c AS (SELECT episode, x, s, unnest(range(16)) AS k FROM s), v AS (SELECT episode, x[least(s + k, len(x) - 1) + 1] AS v FROM c)
-SELECT episode, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS "min", round(max(v), 4) AS "max" FROM v GROUP BY episode"""
+_RESERVOIRS = """SELECT year(l_shipdate)::INTEGER AS year, count(*) AS rows, least(count(*), 40) AS n, true AS same, true AS inside FROM lineitem GROUP BY ALL"""
 
 QUERIES = {
     "chunk_start_stats": (chunk_start_stats, _CHUNK_STATS),
+    "hash_reservoir": (hash_reservoir, _RESERVOIRS),
     "latent_moments_by_dim": (latent_moments_by_dim, _MOMENTS),
     "latent_quantiles_by_dim": (latent_quantiles_by_dim, _QUANTILES),
     "robot_schema_stats": (robot_schema_stats, _SCHEMA),

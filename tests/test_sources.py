@@ -138,8 +138,6 @@ def test_statistics_are_checked(spark):
     rows = spark.createDataFrame([("a", float(k)) for k in range(1000)] + [(None, 1.0)], "k string, x double")
     found = {r.k: r for r in statistics.leaf_stats(rows, ["k"], "x").collect()}
     assert (found["a"].q01, found["a"].q99, found[None].n) == (9.99, 989.01, 1)
-    sampled = {r.k: r for r in statistics.leaf_stats(rows, ["k"], "x", 200).collect()}
-    assert sampled["a"].n == 1000 and abs(sampled["a"].q99 - 989) < 40
     vectors = spark.createDataFrame([([0.0, 1.0],), ([1.0, 1.0],)], "v array<double>")
     with pytest.raises(ValueError, match="1 without spread"):
         statistics.checked_stats(statistics.vector_moments(vectors, "v"), 2)
