@@ -93,23 +93,32 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataF
     return dealt.join(copies, [key, "__part"], how).drop("__part")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or name with underscores after it, that is none of those taken in upper or lower case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def one_row_each(docs: DataFrame, rows: DataFrame, chosen: DataFrame, numbered) -> DataFrame:
     """The rows of docs that are chosen, one a group. rows: doc_id and number of each row of docs; chosen: doc_id and number, one a group.
 
-    A row is known by its id where no other has it. Rows of repeated (or null) ids are known by id and number: numbered(docs) adds the column
-    __number to those few, and of rows that are equal in both one stays.
+    A row is known by its id where no other has it. Rows of repeated (or null) ids are known by id and number: numbered(docs, name) adds a column of that name
+    to those few, and of rows that are equal in both one stays. Columns of docs may have any names.
     """
-    same = lambda left, right: left["doc_id"].eqNullSafe(right["__id"])
-    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times")).withColumnRenamed("doc_id", "__id")
-    chosen = written(chosen.join(times, same(chosen, times)).select("__id", F.col("number").alias("__number"), "__times"), "chosen-rows")
-    single, several = chosen.where("__times = 1").select("__id"), chosen.where("__times > 1").select("__id", "__number")
+    of, number = free_name("__id", docs.columns), free_name("__number", docs.columns)
+    same = lambda left, right: left["doc_id"].eqNullSafe(right[of])
+    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times")).withColumnRenamed("doc_id", of)
+    chosen = written(chosen.join(times, same(chosen, times)).select(of, F.col("number").alias(number), "__times"), "chosen-rows")
+    single, several = chosen.where("__times = 1").select(of), chosen.where("__times > 1").select(of, number)
     out = docs.join(single, same(docs, single), "left_semi")
     if several.isEmpty():
         return out
-    ids = several.select("__id").distinct()
-    again = numbered(docs.join(ids, same(docs, ids), "left_semi"))
-    again = again.join(several, same(again, several) & (again["__number"] == several["__number"]), "left_semi").dropDuplicates(["doc_id", "__number"])
-    return out.unionByName(again.drop("__number"))
+    ids = several.select(of).distinct()
+    again = numbered(docs.join(ids, same(docs, ids), "left_semi"), number)
+    again = again.join(several, same(again, several) & (again[number] == several[number]), "left_semi").dropDuplicates(["doc_id", number])
+    return out.unionByName(again.drop(number))
 
 
 def let(value: Column, body) -> Column:

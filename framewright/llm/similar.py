@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from framewright.llm.common import one_row_each, written
 from framewright.llm.meeting import links
@@ -153,12 +154,14 @@ def without_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     labels = components(found, "a", "b").withColumnRenamed("node", "set")
     first = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "set")).alias("f")
     chosen = sets.join(labels, "set", "left").groupBy(F.coalesce("label", "set").alias("group")).agg(first)
-    schema = docs.schema.add("__number", "long", False)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([set_key(shingles(x.as_py() or "", width)) for x in batch.column(batch.schema.get_field_index("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "__number"])
+    def numbered(some: DataFrame, name: str) -> DataFrame:
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = pa.array([set_key(shingles(x.as_py() or "", width)) for x in batch.column(batch.schema.get_field_index("text"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+
+        return some.mapInArrow(number, StructType([*some.schema.fields, StructField(name, LongType(), False)]))
 
     rows = rows.select("doc_id", F.col("set").alias("number"))
-    return one_row_each(docs, rows, chosen.select(F.col("f.first").alias("doc_id"), F.col("f.set").alias("number")), lambda some: some.mapInArrow(number, schema))
+    return one_row_each(docs, rows, chosen.select(F.col("f.first").alias("doc_id"), F.col("f.set").alias("number")), numbered)

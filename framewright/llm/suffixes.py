@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fresh_path, fresh_table, written
+from framewright.llm.common import free_name, fresh_path, fresh_table, written
 
 WINDOW, GRAM = 50, 16
 #: Places an anchor can have in a window.
@@ -507,10 +507,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with the repeated bytes gone from text (and n_chars, where there is one, counted anew). Bytes of a
     character that is cut apart go with it. A null text stays null."""
     names = docs.columns
-    row = "struct(" + ", ".join(f"`{c}`" for c in names if c != "text") + ", text is null as __text_is_null)"
+    flag, whole = free_name("__text_is_null", names), free_name("__text", names)
+    row = "struct(" + ", ".join(f"`{c}`" for c in names if c != "text") + f", text is null as `{flag}`)"
     out = _kept(docs, row, "doc_id", "text", characters=True)
-    kept = F.when(F.col("__row.__text_is_null"), F.lit(None).cast("string")).otherwise(F.col("kept").cast("string"))
-    out = out.withColumn("__text", kept)
-    return out.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c in names])
+    kept = F.when(F.col(f"__row.`{flag}`"), F.lit(None).cast("string")).otherwise(F.col("kept").cast("string"))
+    out = out.withColumn(whole, kept)
+    return out.select(*[F.col(whole).alias(c) if c == "text" else F.length(whole).cast("long").alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c in names])
 
 
