@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.plans import joins, mixing, rebuilds, rotations, rules, sampling, scalars, series, statistics
+from framewright.plans import joins, mixing, rebuilds, rotations, rules, sampling, scalars, scans, series, statistics
 
-_ALL = mixing.QUERIES | statistics.QUERIES | joins.QUERIES | series.QUERIES | sampling.QUERIES | scalars.QUERIES | rules.QUERIES | rebuilds.QUERIES | rotations.QUERIES
+_ALL = mixing.QUERIES | statistics.QUERIES | joins.QUERIES | series.QUERIES | sampling.QUERIES | scalars.QUERIES | rules.QUERIES | rebuilds.QUERIES | rotations.QUERIES | scans.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,6 +26,7 @@ def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     caption = F.array(F.struct(F.lit(2.0).alias("start_time"), F.lit("and grasp").alias("description")), F.struct(F.lit(1.0).alias("start_time"), F.concat(F.lit("reach "), F.col("event_type")).alias("description")))
     return rows.select(
         F.when(F.col("u") % 19 == 5, "").otherwise(F.col("event_type")).alias("dataset"), F.when(F.col("u") % 23 == 7, "a/../b").otherwise(F.concat(F.lit("chunk/ep"), F.col("u"))).alias("episode_id"),
+        (2 * F.col("u")).alias("position"),
         caption.alias("caption"), F.when(F.col("u") % 2 == 0, 7).alias("gap"), F.when(F.col("u") % 59 != 11, views).alias("views"), "u", "n",
     )
 
@@ -45,11 +46,14 @@ def _latents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # repeated unsafe ids and blank names share their probes; they fall before these count
-    return manifest.rebuild(_episodes(spark, sf_dir), _latents(spark, sf_dir), 4, 4, "flat", 24)
+    # every sixth episode comes twice; the second time it is a duplicate if the first was kept
+    episodes = _episodes(spark, sf_dir)
+    episodes = episodes.unionByName(episodes.where("u % 6 = 1").withColumn("position", F.col("position") + 1))
+    latents = _latents(spark, sf_dir).dropDuplicates(["dataset", "episode_id", "view"])
+    return manifest.rebuild(episodes, latents, 4, 4, "flat", 24, position="position")
 
 
-_CASES = f"""p AS (SELECT event_type, user_id AS u, count(*) AS n, user_id % 3 + 1 AS size FROM events GROUP BY ALL),
+_CASES = f"""p AS (SELECT event_type, u, n, size, unnest(range(1 + (u % 6 = 1)::INTEGER)) AS again FROM (SELECT event_type, user_id AS u, count(*) AS n, user_id % 3 + 1 AS size FROM events GROUP BY ALL)),
 e AS (SELECT *, CASE WHEN u % 19 = 5 THEN '' ELSE event_type END AS dataset, CASE WHEN u % 23 = 7 THEN 'a/../b' ELSE 'chunk/ep' || u END AS episode_id,
     u % 19 = 5 OR u % 59 = 11 AS malformed, u % 23 = 7 OR (size = 3 AND u % 53 = 5) AS unsafe, size > 1 AND u % 17 = 3 AS unmapped FROM p),
 v AS (SELECT *, unnest(range(size)) AS k FROM e WHERE NOT malformed AND NOT unsafe AND NOT unmapped),
@@ -58,8 +62,8 @@ j AS (SELECT *, CASE WHEN u % 29 = 4 AND k = 0 THEN 'no_video_path' WHEN suffix
     WHEN u % 31 = 8 THEN 'latent_dim_mismatch:[4, 4]' WHEN u % 31 = 9 THEN 'latent_dim_mismatch:[5]' WHEN u % 37 = 2 THEN 'negative_start_frame:-1' WHEN u % 41 = 6 THEN 'pair_stride_mismatch:1' WHEN u % 43 = 1 THEN 'pair_stride_mismatch:2'
     WHEN u % 47 = 3 THEN 'representation_mismatch:mean' END AS fault, CASE WHEN u % 5 = 0 THEN '/r/' || u ELSE 'v/' || u || suffix END AS video,
     CASE WHEN u % 4 > 0 THEN u % 4 * 10.0 WHEN suffix = '.hdf5' AND u % 3 = 0 THEN 12.5 ELSE 30.0 END::DOUBLE AS fps, CASE WHEN u % 7 = 0 THEN k * 12 ELSE 0 END AS start FROM s),
-g AS (SELECT event_type, u, arg_min(fault, role) FILTER (fault IS NOT NULL) AS fault, bool_or(gone) AS incomplete, count(*) AS views, arg_min(fps, role) AS fps, string_agg(view || '=' || video, ',' ORDER BY role) AS paths, sum(start)::BIGINT AS starts FROM j GROUP BY ALL),
-r AS (SELECT e.*, g.* EXCLUDE (event_type, u), CASE WHEN malformed THEN 'malformed' WHEN unsafe THEN 'unsafe_name' WHEN unmapped THEN 'unmapped_camera:chest' WHEN fault IS NOT NULL THEN fault WHEN incomplete THEN 'incomplete_views' END AS reason FROM e LEFT JOIN g USING (event_type, u))"""
+g AS (SELECT event_type, u, arg_min(fault, role) FILTER (fault IS NOT NULL) AS fault, bool_or(gone) AS incomplete, count(*) AS views, arg_min(fps, role) AS fps, string_agg(view || '=' || video, ',' ORDER BY role) AS paths, sum(start)::BIGINT AS starts FROM j WHERE again = 0 GROUP BY ALL),
+r AS (SELECT e.*, g.* EXCLUDE (event_type, u), CASE WHEN malformed THEN 'malformed' WHEN unsafe THEN 'unsafe_name' WHEN unmapped THEN 'unmapped_camera:chest' WHEN fault IS NOT NULL THEN fault WHEN incomplete THEN 'incomplete_views' WHEN again > 0 THEN 'duplicate_episode' END AS reason FROM e LEFT JOIN g USING (event_type, u))"""
 
 
 def manifest_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +84,14 @@ def manifest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.drop_counts(_rebuilt(spark, sf_dir))
 
 
-_COUNTERS = f"""WITH {_CASES}, live AS (SELECT j.*, r.reason FROM j JOIN r USING (event_type, u) WHERE reason IS NULL OR reason = 'incomplete_views'),
-c AS (SELECT dataset, 'kept' AS counter FROM r WHERE reason IS NULL UNION ALL SELECT dataset, 'views_' || views FROM r WHERE reason IS NULL UNION ALL SELECT dataset, reason FROM r WHERE reason IS NOT NULL
+_COUNTERS = f"""WITH {_CASES}, live AS (SELECT j.*, r.reason FROM j JOIN r USING (event_type, u, again) WHERE reason IS NULL OR reason IN ('incomplete_views', 'duplicate_episode')),
+c AS (SELECT dataset, 'kept' AS counter FROM r WHERE reason IS NULL OR reason = 'duplicate_episode' UNION ALL SELECT dataset, 'views_' || views FROM r WHERE reason IS NULL OR reason = 'duplicate_episode' UNION ALL SELECT dataset, reason FROM r WHERE reason IS NOT NULL
 UNION ALL SELECT dataset, 'probe_' || CASE WHEN gone AND u % 2 = 0 THEN 'missing_latent' WHEN gone THEN 'unreadable_latent' WHEN u % 9 = 1 THEN 'npz' ELSE 'tail' END FROM live
 UNION ALL SELECT dataset, CASE WHEN u % 2 = 0 THEN 'missing_latent' ELSE 'unreadable_latent' END FROM live WHERE gone
 UNION ALL SELECT dataset, 'windowed_start_frame:' || dataset FROM live WHERE NOT gone AND start <> 0
 UNION ALL SELECT dataset, CASE WHEN u % 5 = 0 THEN 'video_path_resolved' ELSE 'video_path_verbatim' END FROM live WHERE NOT gone
 UNION ALL SELECT dataset, 'no_protocol_source' FROM live WHERE NOT gone AND u % 5 <> 0
-UNION ALL SELECT dataset, CASE WHEN suffix = '.hdf5' AND u % 3 = 0 THEN 'fps_measured_hdf5:' ELSE 'fps_fallback:' END || dataset FROM live WHERE NOT gone AND u % 4 = 0)
+UNION ALL SELECT dataset, CASE WHEN suffix = '.hdf5' AND u % 3 = 0 THEN 'fps_measured_hdf5:' || dataset ELSE 'fps_fallback:' || dataset || ':30' END FROM live WHERE NOT gone AND u % 4 = 0)
 SELECT dataset, counter, count(*) AS n FROM c GROUP BY ALL"""
 
 
@@ -97,7 +101,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("dataset", "episode_id", "nlat", "fps", "stride", "pair_stride", "start_frame", F.array_join(F.transform("views", lambda v: F.concat(v["role"].cast("string"), F.lit("@"), v["start_frame"].cast("string"))), ",").alias("views"), "kept"))
 
 
-_INDEX = f"""WITH {_CASES}, w AS (SELECT event_type, u, string_agg(role || '@' || start, ',' ORDER BY role) AS slots FROM j GROUP BY ALL),
+_INDEX = f"""WITH {_CASES}, w AS (SELECT event_type, u, string_agg(role || '@' || start, ',' ORDER BY role) AS slots FROM j WHERE again = 0 GROUP BY ALL),
 i AS (SELECT *, greatest(1, round_even(fps * 0.25::DOUBLE / 4, 0)::INTEGER) AS stride FROM r JOIN w USING (event_type, u) WHERE reason IS NULL)
 SELECT dataset, episode_id, (n - 1)::INTEGER AS nlat, fps, stride, 4 AS pair_stride, 0 AS start_frame, slots AS views, n - 1 >= 2 * stride + 1 AS kept FROM i"""
 

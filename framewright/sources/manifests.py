@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.series_joins import coverage
+from framewright.sources.scans import read_json_array, read_json_lines
 
 VIEW = "struct<view:string,video_path:string,latent_path:string,num_latents:int,fps:double,pair_stride:int,start_frame:int>"
 MANIFEST = f"dataset string, episode_id string, caption string, gap int, latent_dim int, views array<{VIEW}>"
@@ -29,16 +30,21 @@ def manifest_format(spark: SparkSession, path: str) -> str:
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
-    """A manifest in either format. A malformed line is an error; blank lines are nothing."""
+    """A manifest in either format, read in as many tasks as its size asks for. A malformed line or element is an error that names its number; blank lines are nothing."""
     kind = manifest_format(spark, path)
     if kind == "empty":
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", kind == "array").json(path)
+    return (read_json_array if kind == "array" else read_json_lines)(spark, path, schema).drop("file", "number")
 
 
-def read_tar_index(spark: SparkSession, path: str) -> DataFrame:
-    """n, o, s: of entries of the same name the one with the least offset, which came first."""
-    return spark.read.schema(TAR_INDEX).json(path).groupBy("n").agg(F.min_by(F.struct("o", "s"), "o").alias("at")).select("n", "at.o", "at.s")
+def read_tar_index(spark: SparkSession, path: str | list[str], root: str | None = None) -> DataFrame:
+    """n, o, s: of lines of the same name the first one; later ones are malformed in some indexes. With root also path: the archive of the same name as the index there."""
+    rows = read_json_lines(spark, path, TAR_INDEX)
+    rows = rows.groupBy("file", "n").agg(F.min_by(F.struct("o", "s"), "number").alias("at")).select("file", "n", "at.o", "at.s")
+    if root is None:
+        return rows.drop("file")
+    name = F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)
+    return rows.select("n", "o", "s", F.concat(F.lit(root.rstrip("/") + "/"), name, F.lit(".tar")).alias("path"))
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
