@@ -80,7 +80,7 @@ CASE WHEN reason IS NULL THEN fps END AS fps, CASE WHEN reason IS NULL THEN path
 
 
 def manifest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All counters by dataset: kept, reasons, probe statuses, where paths and rates come from."""
+    """All counters by dataset: kept, reasons, probe statuses, where paths and rates come from."""
     return manifest.drop_counts(_rebuilt(spark, sf_dir))
 
 

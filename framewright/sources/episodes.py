@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,14 +65,44 @@ def state_layout(names: list[str]) -> str:
     return "quaternion" if {"qx", "qy", "qz", "qw"} <= have else "euler" if {"roll", "pitch", "yaw"} <= have else "axis_angle"
 
 
-def read_frames(spark: SparkSession, root: str, episodes: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Frames of all shards below root/data, of the given episodes only: bounds of their numbers go to the scan, which passes over row groups outside of them; a join does the rest."""
+#: Intervals that a set of numbers is pushed to a scan as, at most.
+INTERVALS = 64
+
+
+def intervals(ids: DataFrame, column: str, most: int = INTERVALS) -> list[tuple[int, int]]:
+    """At most so many disjoint intervals, in order, that hold all of a column's numbers: runs of neighbouring cells, as narrow as their number allows. Nulls aren't held."""
+    width = 1
+    while True:
+        cells = ids.where(F.col(column).isNotNull()).select(F.floor(F.col(column) / width).alias("cell")).distinct()
+        # neighbouring cells are one run, which begins at a cell whose neighbour below isn't there
+        below = cells.select((F.col("cell") + 1).alias("cell"))
+        begins = cells.join(below, "cell", "left_anti").orderBy("cell").limit(most + 1).collect()
+        if len(begins) <= most:
+            above = cells.select((F.col("cell") - 1).alias("cell"))
+            ends = cells.join(above, "cell", "left_anti").orderBy("cell").collect()
+            return [(a.cell * width, (b.cell + 1) * width - 1) for a, b in zip(begins, ends)]
+        width *= 4
+
+
+def read_frames(spark: SparkSession, root: str, episodes: DataFrame | None = None, columns: list[str] | None = None, complete: bool = False) -> DataFrame:
+    """Frames of all shards below root/data, of the given episodes only: their numbers go to the scan as at most INTERVALS intervals, which passes over row groups that have none of them; a join
+    does the rest. complete: an episode whose frames aren't 0 to length - 1, each once, is an error, and so is one without any (episodes then has length)."""
     rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
     rows = rows.select("episode_index", "frame_index", *(columns or [c for c in rows.columns if c not in ("episode_index", "frame_index")]))
     if episodes is None:
         return rows
-    low, high = episodes.agg(F.min("episode_index"), F.max("episode_index")).first()
-    return rows.where(F.col("episode_index").between(low, high)).join(episodes.select("episode_index"), "episode_index", "left_semi") if low is not None else rows.limit(0)
+    held = intervals(episodes, "episode_index")
+    if not held:
+        return rows.limit(0)
+    rows = rows.where(reduce(or_, [F.col("episode_index").between(a, b) for a, b in held])).join(episodes.select("episode_index").distinct(), "episode_index", "left_semi")
+    if complete:
+        n = rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_index").alias("s"), F.min("frame_index").alias("low"), F.max("frame_index").alias("high"), F.sum(F.col("frame_index").cast("decimal(38,0)") * F.col("frame_index")).alias("q"))
+        length = F.col("length")
+        whole = (F.col("n") == length) & (F.col("low") == 0) & (F.col("high") == length - 1) & (F.col("s") * 2 == length * (length - 1)) & (F.col("q") * 6 == length * (length - 1) * (2 * length - 1))
+        gaps = episodes.join(n, "episode_index", "left").where((length > 0) & ~F.coalesce(whole, F.lit(False))).select("episode_index").orderBy("episode_index").limit(5).collect()
+        if gaps:
+            raise ValueError(f"{root}: episodes {[r[0] for r in gaps]} aren't whole")
+    return rows
 
 
 def scattered(frames: DataFrame, episodes: DataFrame) -> DataFrame:
