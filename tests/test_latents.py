@@ -61,7 +61,7 @@ def test_rebuild_from_files(spark, tmp_path):
     episodes = spark.createDataFrame(rows, "dataset string, episode_id string, caption array<struct<start_time:double,description:string>>, gap int, views map<string,struct<video_path:string,is_store:boolean,measured_fps:double>>")
     found = manifest.rebuild(episodes, probes, 4, 4, "flat").collect()
     assert sorted((r.dataset or "", r.episode_id or "", r.reason or "kept") for r in found) == sorted([
-        ("A", "c/e1", "kept"), ("A", "c/e1", "kept"), ("A", "c/e2", "incomplete_views"), ("A", "e3", "latent_dim_mismatch:[5]"), ("A", "e4", "unsupported_source:.txt"), ("A", "e5", "bad_num_latents"),
+        ("A", "c/e1", "kept"), ("A", "c/e1", "duplicate_episode"), ("A", "c/e2", "incomplete_views"), ("A", "e3", "latent_dim_mismatch:[5]"), ("A", "e4", "unsupported_source:.txt"), ("A", "e5", "bad_num_latents"),
         ("A", "", "malformed"), ("", "e1", "malformed"), ("A", "c/../e1", "unsafe_name"), ("A", "e6", "unmapped_camera:chest,top"), ("A", "e7", "malformed"),
     ])
     kept = next(r for r in found if r.reason is None)
