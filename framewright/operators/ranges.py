@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local: list[str] = []
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, with rows in the partitions that they were in."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> int:
+    """Removes the tables that operators have stored so far, for callers that have written what depends on them; returns their number."""
+    n, conf = len(_stored), spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _stored[:n]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _stored[:n]
+    return n
+
+
 def running(rows: DataFrame, group: list[str], order: list[Column], into: str, value: Column | None = None) -> DataFrame:
     """Adds into: how many rows (or what sum of value) the group has before this one, in an order without ties. No task holds a group, only a range of it.
     Columns named __p, __g, __v and __o are the function's own. Null groups are groups."""

@@ -51,3 +51,13 @@ def test_weighted_moments_keep_their_digits(spark):
     assert found["a"].n == len(every) and found["a"].mean == pytest.approx(plain.fmean(every), rel=1e-15)
     assert found["a"].std == pytest.approx(plain.stdev(every), rel=1e-9)
     assert (found[None].n, found[None].std) == (1, 0.0)
+
+
+def test_stored_tables_can_be_removed(spark):
+    from framewright.operators import ranges
+
+    kept = ranges.stored(spark.range(5), "some")
+    assert kept.count() == 5 and ranges.remove_stored(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+    assert ranges.remove_stored(spark) == 0
