@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.ranges import shared_dir
 from framewright.plans.tables import table
-from framewright.sources import scans
+from framewright.sources import probes, scans
 from framewright.sources.manifests import read_tar_index
 
 
@@ -54,7 +54,35 @@ def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TARS = "SELECT doc_id, octet_length(encode(text))::INTEGER AS n_bytes, sha256(text) AS sha256 FROM documents WHERE text <> ''"
 
+
+def scene_frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as scenes of both forms, with depth archives for two thirds of them, which are probed once; a second run opens none. Every fifth has its sizes from a manifest."""
+    path = _path(spark, "scenes")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(2)).alias("form"), (F.pmod("p_partkey", F.lit(17)) + 1).cast("int").alias("num_frames"), F.col("p_size").cast("int").alias("height"), F.lit(4).alias("width"))
+    legacy = F.concat(F.lit("parts/"), "p_partkey", F.lit("/exports/mini_npz/results"))
+    own = F.concat(F.lit("own/"), "p_partkey")
+    rows = rows.withColumn("name", F.when(F.col("form") == 0, legacy).otherwise(own))
+    probes.write_depths(rows.where("p_partkey % 3 <> 2"), path)
+    video = F.concat(F.lit("/m/split_videos/parts/"), "p_partkey", F.lit(".mp4"))
+    at = F.concat(F.lit(f"{path}/"), "name", F.lit(".npz"))
+    explicit = lambda c: F.when(F.col("form") == 1, c)
+    scans.write_array(rows.select(explicit(F.concat(F.lit("/v/part "), "p_partkey", F.lit(".mp4"))).alias("rgb"), explicit(at).alias("depth_npz"), explicit(at).alias("flow_npz"), F.when(F.col("form") == 0, video).alias("path")), f"{path}/lists")
+    scenes = probes.read_scene_list(spark, f"{path}/lists", path, path)
+    key = F.regexp_extract("scene", r"(\d+)$", 1).cast("long")
+    manifest = scenes.where(key % 5 == 0).select(F.col("scene").alias("scene_id"), F.lit(7).alias("height"), F.lit(8).alias("width"), F.lit(9).alias("num_frames"))
+    probes.update_counts(scenes, f"{path}/store")
+    again = probes.update_counts(scenes, f"{path}/store")
+    found = probes.frame_counts(scenes, f"{path}/store", 3, manifest, probe=False)
+    return found.select("scene", "dataset", "role", *[F.when(F.col("height") > 0, F.col(c)).alias(c) for c in ("height", "width", "num_frames", "has_flow_npz")], "pairs", F.lit(again).cast("long").alias("opened_again"))
+
+
+_SCENES = """WITH s AS (SELECT *, p_partkey % 2 = 1 AS own, p_partkey % 5 = 0 AS told, p_partkey % 3 <> 2 AS there FROM part)
+SELECT CASE WHEN own THEN 'part_' ELSE 'parts/' END || p_partkey AS scene, CASE WHEN own THEN 'unknown' END AS dataset, CASE WHEN own THEN 'part_' || p_partkey END AS role,
+CASE WHEN told THEN 7 WHEN there THEN p_size END::BIGINT AS height, CASE WHEN told THEN 8 WHEN there THEN 4 END::BIGINT AS width, CASE WHEN told THEN 9 WHEN there THEN p_partkey % 17 + 1 END::BIGINT AS num_frames,
+CASE WHEN told THEN true WHEN there THEN own END AS has_flow_npz, CASE WHEN told THEN 2 WHEN there THEN p_partkey % 17 // 3 ELSE 1 END::BIGINT AS pairs, 0::BIGINT AS opened_again FROM s"""
+
 QUERIES = {
+    "scene_frame_counts": (scene_frame_counts, _SCENES),
     "json_array_scan": (json_array_scan, _ARRAYS),
     "numbered_lines": (numbered_lines, _LINES),
     "tar_members": (tar_members, _TARS),
