@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators.ranges import shared_dir
+from framewright.operators.ranges import running, shared_dir
 from framewright.plans.tables import table
 from framewright.sources import probes, scans
 from framewright.sources.manifests import read_tar_index
+from framewright.sources.zarr import read_zarr_frames, write_zarr_frames
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -81,7 +82,21 @@ SELECT CASE WHEN own THEN 'part_' ELSE 'parts/' END || p_partkey AS scene, CASE
 CASE WHEN told THEN 7 WHEN there THEN p_size END::BIGINT AS height, CASE WHEN told THEN 8 WHEN there THEN 4 END::BIGINT AS width, CASE WHEN told THEN 9 WHEN there THEN p_partkey % 17 + 1 END::BIGINT AS num_frames,
 CASE WHEN told THEN true WHEN there THEN own END AS has_flow_npz, CASE WHEN told THEN 2 WHEN there THEN p_partkey % 17 // 3 ELSE 1 END::BIGINT AS pairs, 0::BIGINT AS opened_again FROM s"""
 
+
+def zarr_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as frames of a sharded Zarr array for each source, three a chunk, read back from their ranges of bytes."""
+    path = _path(spark, "zarr")
+    rows = running(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source"], [F.col("doc_id")], "frame")
+    store = F.concat(F.lit(f"{path}/"), F.coalesce("source", F.lit("none")))
+    write_zarr_frames(rows.select(store.alias("path"), "frame", F.col("text").alias("content")), 24, 3)
+    found = read_zarr_frames(rows.select(store.alias("path")))
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "frame", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+_ZARR = """SELECT coalesce(source, 'none') AS source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frame, octet_length(encode(coalesce(text, '')))::INTEGER AS n_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents"""
+
 QUERIES = {
+    "zarr_frames": (zarr_frames, _ZARR),
     "scene_frame_counts": (scene_frame_counts, _SCENES),
     "json_array_scan": (json_array_scan, _ARRAYS),
     "numbered_lines": (numbered_lines, _LINES),
