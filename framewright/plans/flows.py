@@ -57,7 +57,7 @@ SELECT episode, start, p::INTEGER AS p, round(cx - p % {W}, 5) AS u, round(cy -
 
 
 def scene_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I23, A42 (3 x 4 poses): points of two depth images under two poses, joined by the flow between the images."""
+    """Points of two depth images under two poses, joined by the flow between the images."""
     rows = _images(spark, sf_dir)
     e = lambda k: F.get("e", F.lit(k))
     zero, one = F.lit(0.0), F.lit(1.0)
