@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators.ranges import running, shared_dir
+from framewright.operators.ranges import running, shared_dir, stored
 from framewright.plans.tables import table
 from framewright.sources import probes, scans
 from framewright.sources.manifests import read_tar_index
@@ -68,7 +68,7 @@ def scene_frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.concat(F.lit(f"{path}/"), "name", F.lit(".npz"))
     explicit = lambda c: F.when(F.col("form") == 1, c)
     scans.write_array(rows.select(explicit(F.concat(F.lit("/v/part "), "p_partkey", F.lit(".mp4"))).alias("rgb"), explicit(at).alias("depth_npz"), explicit(at).alias("flow_npz"), F.when(F.col("form") == 0, video).alias("path")), f"{path}/lists")
-    scenes = probes.read_scene_list(spark, f"{path}/lists", path, path)
+    scenes = stored(probes.read_scene_list(spark, f"{path}/lists", path, path), "scenes")
     key = F.regexp_extract("scene", r"(\d+)$", 1).cast("long")
     manifest = scenes.where(key % 5 == 0).select(F.col("scene").alias("scene_id"), F.lit(7).alias("height"), F.lit(8).alias("width"), F.lit(9).alias("num_frames"))
     probes.update_counts(scenes, f"{path}/store")

@@ -7,10 +7,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import scene_folder, source_suffix
+from framewright.functions.series import let
 from framewright.sources.latents import npy_header
 from framewright.sources.scans import _open, json_array_elements
 
@@ -28,29 +29,34 @@ def read_scene_list(spark: SparkSession, path: str, depth_root: str | None = Non
     An element with rgb and depth_npz has its paths itself; its scene is scene_id or else the video's name without suffix. Another one has path or video_path, and depth and flow where the scene lies below
     their roots; without both roots it is an error. An element without a video is nothing. Blanks in names become underscores. Of elements of one scene the first counts."""
     found = json_array_elements(spark, path)
+    told = lambda value: F.when(value != "", value)
+
+    def derived(i: Column) -> Column:
+        explicit = i["rgb"].isNotNull() & i["depth_npz"].isNotNull()
+        video = F.when(explicit, i["rgb"]).otherwise(F.coalesce(told(i["path"]), told(i["video_path"])))
+        return let(video, lambda v: let(scene_folder(v), lambda folder: let(named(i, explicit, v, folder), lambda scene: entry(i, explicit, v, folder, scene))))
+
+    def named(i: Column, explicit: Column, video: Column, folder: Column) -> Column:
+        stem = let(F.regexp_extract(video, r"([^/]*)/*$", 1), lambda name: F.substr(name, F.lit(1), F.length(name) - F.length(source_suffix(name))))
+        return F.replace(F.when(explicit, F.coalesce(told(i["scene_id"]), stem)).otherwise(folder), F.lit(" "), F.lit("_"))
+
+    def entry(i: Column, explicit: Column, video: Column, folder: Column, scene: Column) -> Column:
+        if depth_root is None or flow_root is None:
+            below = lambda *_: F.raise_error(F.concat(F.lit("roots of depth and flow are needed for "), video)).cast("string")
+        else:
+            below = lambda root, rest: F.concat(F.lit({"depth": depth_root, "flow": flow_root}[root].rstrip("/") + "/"), folder, F.lit(rest))
+        either = lambda own, other: F.when(explicit, own).when(video.isNotNull(), other)
+        own = lambda value: F.when(explicit, value)
+        return F.struct(
+            scene.alias("scene"), video.alias("video_path"), either(i["depth_npz"], below("depth", "/exports/mini_npz/results.npz")).alias("depth_npz"),
+            either(F.coalesce(i["flow_npz"], F.lit("")), below("flow", "/flows.npz")).alias("flow_npz"), either(F.coalesce(i["flow_mp4"], F.lit("")), below("flow", "/flow.mp4")).alias("flow_mp4"),
+            either(scene, folder).alias("original_rel"), own(F.coalesce(i["dataset"], F.lit("unknown"))).alias("dataset"), own(F.coalesce(i["role"], F.regexp_extract(scene, r"([^/]*)$", 1))).alias("role"),
+            own(i["start_frame"]).alias("start_frame"), own(i["end_frame"]).alias("end_frame"),
+        )
+
     item = F.from_json("value", ITEM, {"mode": "FAILFAST"})
-    rows = found.select(F.struct("file", "number").alias("number"), item.alias("i")).select("number", "i.*")
-    explicit = F.col("rgb").isNotNull() & F.col("depth_npz").isNotNull()
-    told = lambda c: F.when(F.col(c) != "", F.col(c))
-    video = F.when(explicit, F.col("rgb")).otherwise(F.coalesce(told("path"), told("video_path")))
-    name = F.regexp_extract("rgb", r"([^/]*)/*$", 1)
-    stem = F.substr(name, F.lit(1), F.length(name) - F.length(source_suffix(name)))
-    folder = scene_folder(video)
-    scene = F.replace(F.when(explicit, F.coalesce(told("scene_id"), stem)).otherwise(folder), F.lit(" "), F.lit("_"))
-    if depth_root is None or flow_root is None:
-        below = lambda *_: F.raise_error(F.concat(F.lit("roots of depth and flow are needed for "), video)).cast("string")
-    else:
-        below = lambda root, rest: F.concat(F.lit({"depth": depth_root, "flow": flow_root}[root].rstrip("/") + "/"), folder, F.lit(rest))
-    either = lambda own, derived: F.when(explicit, own).otherwise(derived)
-    last = F.regexp_extract(scene, r"([^/]*)$", 1)
-    rows = rows.where(video.isNotNull()).select(
-        "number", scene.alias("scene"), video.alias("video_path"), either(F.col("depth_npz"), below("depth", "/exports/mini_npz/results.npz")).alias("depth_npz"),
-        either(F.coalesce("flow_npz", F.lit("")), below("flow", "/flows.npz")).alias("flow_npz"), either(F.coalesce("flow_mp4", F.lit("")), below("flow", "/flow.mp4")).alias("flow_mp4"),
-        either(scene, folder).alias("original_rel"), F.when(explicit, F.coalesce("dataset", F.lit("unknown"))).alias("dataset"), F.when(explicit, F.coalesce("role", last)).alias("role"),
-        F.when(explicit, F.col("start_frame")).alias("start_frame"), F.when(explicit, F.col("end_frame")).alias("end_frame"),
-    )
-    rest = [c for c in rows.columns if c not in ("number", "scene")]
-    return rows.groupBy("scene").agg(F.min_by(F.struct(*rest), "number").alias("r")).select("scene", "r.*")
+    rows = found.select(F.struct("file", "number").alias("number"), let(item, derived).alias("r")).where(F.col("r.video_path").isNotNull())
+    return rows.groupBy(F.col("r.scene").alias("scene")).agg(F.min_by("r", "number").alias("r")).select("r.*")
 
 
 def scene_list_of(manifest: DataFrame) -> DataFrame:
