@@ -207,7 +207,7 @@ def norm_coefficients(method: str, stats: Column) -> tuple[Column, Column]:
     if method == "mean_std":
         return stats["mean"], stats["std"] + eps
     low, high = ("q01", "q99") if method == "q01_q99" else ("min", "max")
-    half = (stats[high] - stats[low]) / 2 + eps
+    half = (stats[high] - stats[low] + eps) / 2
     return (stats[low], half) if method == "min_max" else ((stats[low] + stats[high]) / 2, half)
 
 

@@ -74,7 +74,7 @@ def _normalized(method: str):
 
 def _normalized_sql(offset: str, scale: str) -> str:
     return f"""WITH s AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.99) AS q99 FROM events WHERE event_type <> 'view' GROUP BY event_type)
-SELECT event_id, round(CASE WHEN mean IS NULL THEN value ELSE (value - ({offset})) / ({scale} + 1e-8::DOUBLE) END, 6) AS x FROM events LEFT JOIN s USING (event_type)"""
+SELECT event_id, round(CASE WHEN mean IS NULL THEN value ELSE (value - ({offset})) / ({scale}) END, 6) AS x FROM events LEFT JOIN s USING (event_type)"""
 
 
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,10 +182,10 @@ QUERIES = {
     "latent_quantiles_by_dim": (latent_quantiles_by_dim, _QUANTILES),
     "robot_schema_stats": (robot_schema_stats, _SCHEMA),
     "pooled_stats_merge": (pooled_stats_merge, _MERGED),
-    "zscore_normalize": (_normalized("mean_std"), _normalized_sql("mean", "std")),
-    "minmax_normalize": (_normalized("min_max"), _normalized_sql("lo", "(hi - lo) / 2")),
-    "minmax_sym_normalize": (_normalized("min_max_sym"), _normalized_sql("(lo + hi) / 2", "(hi - lo) / 2")),
-    "q01_q99_normalize": (_normalized("q01_q99"), _normalized_sql("(q01 + q99) / 2", "(q99 - q01) / 2")),
+    "zscore_normalize": (_normalized("mean_std"), _normalized_sql("mean", "std + 1e-8::DOUBLE")),
+    "minmax_normalize": (_normalized("min_max"), _normalized_sql("lo", "(hi - lo + 1e-8::DOUBLE) / 2")),
+    "minmax_sym_normalize": (_normalized("min_max_sym"), _normalized_sql("(lo + hi) / 2", "(hi - lo + 1e-8::DOUBLE) / 2")),
+    "q01_q99_normalize": (_normalized("q01_q99"), _normalized_sql("(q01 + q99) / 2", "(q99 - q01 + 1e-8::DOUBLE) / 2")),
     "latency_histogram": (latency_histogram, _HISTOGRAM),
     "motion_weighted_loss": (motion_weighted_loss, _LOSS),
     "ema_by_episode": (ema_by_episode, _EMA),
