@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.plans import features, flows, joins, mixing, rebuilds, rotations, rules, sampling, scalars, scans, schemas, series, statistics
+from framewright.plans import actions, features, flows, joins, mixing, rebuilds, rotations, rules, sampling, scalars, scans, schemas, series, statistics
 
-_ALL = mixing.QUERIES | statistics.QUERIES | joins.QUERIES | series.QUERIES | sampling.QUERIES | scalars.QUERIES | rules.QUERIES | rebuilds.QUERIES | rotations.QUERIES | scans.QUERIES | schemas.QUERIES | flows.QUERIES | features.QUERIES
+_ALL = mixing.QUERIES | statistics.QUERIES | joins.QUERIES | series.QUERIES | sampling.QUERIES | scalars.QUERIES | rules.QUERIES | rebuilds.QUERIES | rotations.QUERIES | scans.QUERIES | schemas.QUERIES | flows.QUERIES | features.QUERIES | actions.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

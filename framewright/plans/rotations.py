@@ -62,7 +62,7 @@ s AS (SELECT vec_id, q, CASE WHEN list_max(q) >= -list_min(q) THEN 1 ELSE -1 END
 
 
 def slerp_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a fifth of the way from one unit quaternion to another, the short way."""
+    """A fifth of the way from one unit quaternion to another, the short way."""
     unit = lambda q: F.transform(q, lambda x: x / F.sqrt(F.aggregate(q, F.lit(0.0), lambda a, y: a + y * y)))
     return _long(table(spark, sf_dir, "embeddings"), fs.slerp(unit(_part(1, 4)), unit(_part(5, 4)), F.lit(0.2)))
 
@@ -129,7 +129,7 @@ SELECT chunk, k, round(v, 4) AS v FROM u"""
 
 
 def actions_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised actions taken apart, denormalised, six numbers made orthogonal again, and added to their state."""
+    """Normalised actions taken apart, denormalised, six numbers made orthogonal again, and added to their state."""
     stats = F.struct(*[F.lit(v).alias(k) for k, v in {"mean": 0.5, "std": 2.0, "min": -1.0, "max": 1.0, "q01": -0.9, "q99": 0.9}.items()])
     position = F.transform(_part(1, 3), lambda v: scalar.denormalize(v, "mean_std", stats))
     turn = fs.rot6d_to_matrix(_part(4, 6))

@@ -69,7 +69,7 @@ SELECT p_partkey, CASE WHEN a <= b AND a <= c THEN 'wide' WHEN b <= c THEN 'squa
 
 
 def action_flatten_81(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three fields of an order's line in fixed slots of 81 numbers, the rest zero: which of them count, and their sum by place."""
+    """Three fields of an order's line in fixed slots of 81 numbers, the rest zero: which of them count, and their sum by place."""
     slots = {0: "l_quantity", 9: "l_discount", 40: "l_tax"}
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.max(c).alias(c) for c in slots.values()])
     flat = F.array(*[F.col(slots[k]) if k in slots else F.lit(0.0) for k in range(81)])

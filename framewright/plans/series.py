@@ -74,7 +74,7 @@ SELECT episode, frame::INTEGER AS k, round(x + sum(CASE WHEN d IS NULL OR abs(d)
 
 
 def slot_pivot_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of an order as six slots by number, zero where there is none, and their mask."""
+    """lines of an order as six slots by number, zero where there is none, and their mask."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
     slots = [F.coalesce(F.max(F.when(F.col("l_linenumber") == k + 1, F.col("l_quantity"))), F.lit(0.0)).alias(r) for k, r in enumerate(ROLES)]
     mask = F.concat(*[F.max(F.when(F.col("l_linenumber") == k + 1, "1").otherwise("0")) for k in range(len(ROLES))])
