@@ -15,7 +15,7 @@ def largest_remainder(rows: DataFrame, exact: str, total: Column, into: str, ord
     a group, and ranks are taken over ranges, so a group may be of any size.
     """
     group = within or []
-    rest = (F.col(exact) - F.floor(exact)).desc()
+    rest = F.coalesce(F.floor(exact) - F.col(exact), F.lit(1))  # the largest remainder first, nulls last
     ranked = running(rows.withColumn("__total", total), group, [rest, *map(F.col, order)], "__rank")
     sums = rows.groupBy(*group).agg(F.sum(F.floor(exact)).alias("__floors"), F.count(F.lit(1)).alias("__size"))
     ranked = ranked.join(sums, group) if group else ranked.join(F.broadcast(sums))  # one row without groups

@@ -43,13 +43,25 @@ def remove_stored(spark: SparkSession) -> int:
 
 
 def running(rows: DataFrame, group: list[str], order: list[Column], into: str, value: Column | None = None) -> DataFrame:
-    """Adds into: how many rows (or what sum of value) the group has before this one, in an order without ties. No task holds a group, only a range of it.
-    Columns named __p, __g, __v and __o are the function's own. Null groups are groups."""
+    """Adds into: how many rows (or what sum of value) the group has before this one, in an ascending order (of values, not of sort directions) without ties. No task holds a group, only a range of it.
+
+    Ranks need one shuffle: rows are sorted within their ranges, and where they lie there gives the rank once the rows of a group in the ranges before are known. Those counts, one
+    a group and range, are stored, so that Spark knows their size when it chooses how to join them. Columns named __p, __g, __v, __o, __i and __k0 onwards are the function's own. Null groups are groups."""
     g = F.to_json(F.struct(*group)) if group else F.lit("")
-    ranged = rows.withColumn("__g", g).withColumn("__v", F.lit(1) if value is None else value)
-    ranged = stored(ranged.repartitionByRange("__g", *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    rows = rows.withColumn("__g", g)
     before = lambda what, w: F.coalesce(F.sum(what).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = Window.partitionBy("__g").orderBy("__p")
+    if value is None:
+        # the order's values as columns: a sort would work them out at each comparison
+        by = {f"__k{k}": c for k, c in enumerate(order)}
+        ranged = rows.withColumns(by).repartitionByRange("__g", *by).sortWithinPartitions("__g", *by).drop(*by).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+        ranged = stored(ranged, "ranges")
+        sums = ranged.groupBy("__g", "__p").agg(F.count(F.lit(1)).alias("__s"), F.min("__i").alias("__f"))
+        sums = stored(sums.select("__g", "__p", (before("__s", earlier) - F.col("__f")).alias("__o")), "sums")
+        return ranged.join(sums, ["__g", "__p"]).withColumn(into, F.col("__o") + F.col("__i")).drop("__g", "__p", "__o", "__i")
+    ranged = rows.withColumn("__v", value).repartitionByRange("__g", *order)
+    ranged = stored(ranged.withColumn("__p", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("__g", "__p").agg(F.sum("__v").alias("__s"))
-    sums = sums.select("__g", "__p", before("__s", Window.partitionBy("__g").orderBy("__p")).alias("__o"))
+    sums = sums.select("__g", "__p", before("__s", earlier).alias("__o"))
     inner = before("__v", Window.partitionBy("__g", "__p").orderBy(*order))
     return ranged.join(sums, ["__g", "__p"]).withColumn(into, F.col("__o") + inner).drop("__g", "__p", "__v", "__o")
