@@ -76,3 +76,21 @@ def encode_names(rows: DataFrame, name: str, position: str, into: str) -> DataFr
     first = rows.groupBy(name).agg(F.min(position).alias("__first"))
     codes = first.select(name, (F.row_number().over(Window.orderBy("__first")) - 1).alias(into))
     return rows.join(codes, name)
+
+
+def standardised_slots(samples: DataFrame, frames: DataFrame, stats: DataFrame, chunk: int, step: int) -> DataFrame:
+    """samples: dataset, sample, view, start. frames: dataset, view, frame (from 0 without holes), latent. stats: dataset, mean, std (arrays, as long as latents are).
+
+    A row a sample, slot (its views by name, from 0) and k (below chunk): the view's latent at start + k * step, past its ends the one there, less the mean and by the deviation;
+    of a dataset without statistics as it is. A view without frames is an error, as are statistics of another length. A sample's views are few; frames are met by an equi join.
+    """
+    slot = F.row_number().over(Window.partitionBy("dataset", "sample").orderBy("view")) - 1
+    lengths = frames.groupBy("dataset", "view").agg((F.max("frame") + 1).alias("__n"))
+    n = F.when(F.col("__n").isNull(), F.raise_error(F.concat(F.lit("no frames of view "), F.col("view").cast("string"))).cast("long")).otherwise(F.col("__n"))
+    wanted = samples.withColumn("slot", slot).join(lengths, ["dataset", "view"], "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(chunk - 1))))
+    wanted = wanted.withColumn("frame", F.greatest(F.lit(0), F.least(F.col("start") + F.col("k") * step, n - 1)).cast("long"))
+    found = wanted.join(frames.select("dataset", "view", F.col("frame").cast("long").alias("frame"), "latent"), ["dataset", "view", "frame"], "left").join(stats.select("dataset", "mean", "std"), "dataset", "left")
+    fits = (F.size("latent") == F.size("mean")) & (F.size("latent") == F.size("std"))
+    scaled = F.zip_with(F.zip_with("latent", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
+    scaled = F.when(F.col("mean").isNull(), F.col("latent")).when(fits, scaled).otherwise(F.raise_error(F.lit("statistics don't fit the latents")).cast("array<double>"))
+    return found.select("dataset", "sample", "slot", "view", "k", "frame", scaled.alias("latent"))

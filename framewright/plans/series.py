@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import series as fs
 from framewright.functions.scalar import ROLES
+from framewright.operators.series_joins import standardised_slots as slot_rows
 from framewright.operators.unwrap import unwrap_angles
 from framewright.plans.tables import FRAMES, SERIES, frames, rounded, series, table
 
@@ -84,6 +85,28 @@ def slot_pivot_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLOTS = "SELECT l_orderkey, " + ", ".join(f"coalesce(max(CASE WHEN l_linenumber = {k + 1} THEN l_quantity END), 0) AS {r}" for k, r in enumerate(ROLES)) + ", " + " || ".join(f"max(CASE WHEN l_linenumber = {k + 1} THEN '1' ELSE '0' END)" for k in range(len(ROLES))) + " AS mask FROM lineitem GROUP BY l_orderkey"
 
 
+def standardised_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer, chunks of four vectors of two views (vectors of a label by number mod 5, in order), less their label's mean and by its deviation; the sum of a vector's entries, each times its place, and its first."""
+    own = Window.partitionBy("dataset", "view").orderBy("vec_id")
+    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND size(embedding) = 64").select(F.col("label").cast("long").alias("dataset"), F.expr("vec_id % 5").alias("view"), "vec_id", F.col("embedding").cast("array<double>").alias("latent"))
+    frames = rows.select("dataset", "view", (F.row_number().over(own) - 1).alias("frame"), "latent")
+    moments = rows.groupBy("dataset").agg(*[rule(F.get("latent", F.lit(k))).alias(f"{name}{k}") for k in range(64) for name, rule in (("mean", F.avg), ("std", F.stddev_samp))])
+    stats = moments.select("dataset", *[F.array(*[F.col(f"{name}{k}") for k in range(64)]).alias(name) for name in ("mean", "std")])
+    samples = table(spark, sf_dir, "customer").select(F.expr("c_custkey % 10").alias("dataset"), F.col("c_custkey").alias("sample"), F.expr("c_nationkey % 9").alias("start"), F.explode(F.array(F.expr("c_custkey % 5"), F.expr("(c_custkey + 2) % 5"))).alias("view"))
+    places = F.aggregate(F.transform("latent", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    exact = lambda v: F.round(v, 5) + F.lit(0.0)
+    return slot_rows(samples, frames, stats, 4, 2).select("sample", "slot", "view", "k", exact(places).alias("places"), exact(F.get("latent", F.lit(0))).alias("first"))
+
+
+_STANDARD = """WITH r AS (SELECT label::BIGINT AS dataset, vec_id % 5 AS "view", vec_id, embedding FROM embeddings WHERE label IS NOT NULL AND len(embedding) = 64),
+f AS (SELECT *, row_number() OVER (PARTITION BY dataset, "view" ORDER BY vec_id) - 1 AS frame FROM r), n AS (SELECT dataset, "view", count(*) AS n FROM r GROUP BY ALL),
+e AS (SELECT dataset, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM r), m AS (SELECT dataset, i, avg(v) AS mean, stddev_samp(v) AS std FROM e GROUP BY ALL),
+z AS (SELECT dataset, vec_id, sum((v - mean) / std * i) AS places, max((v - mean) / std) FILTER (i = 1) AS "first" FROM e JOIN m USING (dataset, i) GROUP BY ALL),
+s AS (SELECT c_custkey AS sample, c_custkey % 10 AS dataset, c_nationkey % 9 AS start, unnest([c_custkey % 5, (c_custkey + 2) % 5]) AS "view" FROM customer),
+o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY "view") - 1 AS slot FROM s), k AS (SELECT *, unnest(range(4)) AS k FROM o JOIN n USING (dataset, "view"))
+SELECT sample, slot::INTEGER AS slot, k."view" AS "view", k.k::INTEGER AS k, round(places, 5) + 0 AS places, round("first", 5) + 0 AS "first" FROM k JOIN f ON f.dataset = k.dataset AND f."view" = k."view" AND frame = least(start + k.k * 2, n - 1) JOIN z USING (vec_id)"""
+
+
 def flow_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """values summed over the next four frames, and running totals."""
     w = Window.partitionBy("episode").orderBy("frame")
@@ -156,6 +179,7 @@ QUERIES = {
     "resample_nearest": (_resample(False), _NEAR),
     "delta_from_chunk_start": (delta_from_chunk_start, _DELTA),
     "euler_unwrap": (euler_unwrap, _UNWRAP),
+    "standardised_slots": (standardised_slots, _STANDARD),
     "slot_pivot_mask": (slot_pivot_mask, _SLOTS),
     "flow_sums": (flow_sums, _FLOW),
     "locality_periodicity": (locality_periodicity, _PERIOD),
