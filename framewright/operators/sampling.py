@@ -102,14 +102,17 @@ def epoch_batches(samples: DataFrame, n: int, order: list[Column], micro_batch:
     return out.withColumn("replica", F.pmod("at", F.lit(replicas))).withColumn("batch", F.floor(own / local)).withColumn("step", F.floor(F.pmod(own, F.lit(local)) / micro_batch)).withColumn("place", F.pmod(own, F.lit(micro_batch)))
 
 
-def least_loaded(rows: DataFrame, key: str, length: str, workers: int) -> DataFrame:
+def least_loaded(rows: DataFrame, key: str, length: str, workers: int, lengths: int = 100_000) -> DataFrame:
     """rows: key, length (whole numbers above 0). Adds worker, as if rows came longest first (then by key), each to the worker with the least so far, the first of equals.
 
     Rows of one length are worked out together: a worker with load x takes its share at x, x + length, x + 2 length and so on, in the order of these. So the driver
-    holds a row a length, and the rows themselves are ranked on executors.
+    holds a row a length, and the rows themselves are ranked on executors. More distinct lengths than the bound are an error: round them up first.
     """
     loads, shares = np.zeros(workers, np.int64), []
-    for size, n in rows.groupBy(length).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(length)).collect():
+    counts = rows.groupBy(length).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(length)).limit(lengths + 1).collect()
+    if len(counts) > lengths:
+        raise ValueError(f"more than {lengths} distinct lengths; round them up first")
+    for size, n in counts:
         low, high = int(loads.min()), int(loads.min()) + n * size
         taken = lambda level: np.maximum(0, -(-(level - loads) // size))  # noqa: E731 - rows that workers take below a level
         while low < high:
@@ -143,6 +146,28 @@ def padded_lengths(rows: DataFrame, batch: str, length: str) -> DataFrame:
     return rows.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("longest"), (F.count(F.lit(1)) * F.max(length) - F.sum(length)).alias("padding"))
 
 
+def padded(rows: DataFrame, batch: str, fills: dict[str, Column], left: bool = True) -> DataFrame:
+    """Arrays of a batch's rows padded to the batch's longest: fills says with what each column is (tokens with their pad, labels with -100, slots of views with zeros).
+
+    A row's arrays are of one length, else it's an error; null arrays are empty. Adds mask (true at what was there) and position (from 0 at the first entry that was there; before it -1,
+    after the last one on). Tokens are padded on the left, views on the right. A batch's length is one number that is joined to its rows; no task holds a batch.
+    """
+    first, *others = fills
+    own = {c: F.coalesce(F.col(c), F.slice(F.array(fill), 1, 0)) for c, fill in fills.items()}
+    rows = rows.withColumns(own)
+    same = F.lit(True)
+    for c in others:
+        same = same & (F.size(c) == F.size(first))
+    size = F.when(same, F.size(first)).otherwise(F.raise_error(F.lit("a row's arrays differ in length")).cast("int"))
+    rows = rows.withColumn("__size", size)
+    longest = rows.groupBy(batch).agg(F.max("__size").alias("__longest")).withColumnRenamed(batch, "__batch")
+    rows = rows.join(longest, rows[batch].eqNullSafe(longest["__batch"])).withColumn("__pad", F.col("__longest") - F.col("__size"))
+    fill = lambda value, what: F.concat(*[F.array_repeat(what, F.col("__pad")), value][:: 1 if left else -1])
+    places = F.transform(F.array_repeat(F.lit(0), F.col("__longest")), lambda _, k: k - (F.col("__pad") if left else 0))
+    out = rows.withColumns({c: fill(F.col(c), what) for c, what in fills.items()} | {"mask": fill(F.array_repeat(F.lit(True), F.col("__size")), F.lit(False)), "position": F.transform(places, lambda k: F.greatest(k, F.lit(-1)))})
+    return out.drop("__size", "__longest", "__batch", "__pad")
+
+
 def packed_offsets(rows: DataFrame, batch: str, order: str, length: str) -> DataFrame:
     """Where each sequence begins and ends in its batch's packed row."""
     sums = Window.partitionBy(batch).orderBy(order)

@@ -87,7 +87,7 @@ SELECT i, arg_min(other, attempt) AS other, min(attempt) AS attempt FROM t JOIN
 
 
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What batches of a hundred orders pad."""
+    """What batches of a hundred orders pad."""
     return sampling.padded_lengths(_counts(spark, sf_dir).withColumn("batch", F.expr("episode div 100")), "batch", "count")
 
 
@@ -95,6 +95,21 @@ _PADDED = """SELECT episode // 100 AS batch, count(*) AS rows, max(n) AS longest
 FROM (SELECT l_orderkey AS episode, count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY ALL"""
 
 
+def left_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and labels of orders in batches of sixteen, padded on the left to the longest, with what was there and positions."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("s"))
+    rows = lines.select("l_orderkey", F.expr("l_orderkey div 16").alias("batch"), F.expr("transform(s, e -> e.l_partkey)").alias("ids"), F.expr("transform(s, e -> e.l_suppkey)").alias("labels"))
+    out = sampling.padded(rows, "batch", {"ids": F.lit(0).cast("long"), "labels": F.lit(-100).cast("long")})
+    text = lambda c, kind: F.array_join(F.transform(c, lambda x: x.cast(kind).cast("string")), " ").alias(c)
+    return out.select("l_orderkey", text("ids", "long"), text("labels", "long"), text("mask", "int"), text("position", "int"))
+
+
+_LEFT = """WITH o AS (SELECT l_orderkey, l_orderkey // 16 AS batch, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS labels FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) - len(ids) AS pad FROM o)
+SELECT l_orderkey, repeat('0 ', pad) || array_to_string(ids, ' ') AS ids, repeat('-100 ', pad) || array_to_string(labels, ' ') AS labels,
+repeat('0 ', pad) || array_to_string(list_transform(ids, lambda x: 1), ' ') AS mask, repeat('-1 ', pad) || array_to_string(range(len(ids)), ' ') AS "position" FROM p"""
+
+
 def packed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each order begins and ends in its batch's packed row."""
     return sampling.packed_offsets(_counts(spark, sf_dir).withColumn("batch", F.expr("episode div 100")), "batch", "episode", "count")
@@ -135,6 +150,7 @@ QUERIES = {
     "weighted_batches": (weighted_batches, _WEIGHTED),
     "topk_per_group_sample": (topk_per_group_sample, _TOP),
     "read_substitutes": (read_substitutes, _SUBSTITUTES),
+    "left_padded": (left_padded, _LEFT),
     "padded_batches": (padded_batches, _PADDED),
     "packed_offsets": (packed_offsets, _PACKED),
     "locality_blocks": (locality_blocks, _BLOCKS),
