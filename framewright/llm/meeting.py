@@ -1,7 +1,8 @@
 """Links between sets that meet in a band, decided on the sets themselves.
 
-Two sets meet where they have the same value in a band. Whoever calls this chooses bands in which similar sets meet almost surely, and a sketch of
-few bits by which most others are told apart. Every pair that meets and whose sketches are near enough is then settled: it is checked
+Two sets meet where they have the same value in a band or, with the words of a covering code, at an anchor: a set is at home at the anchor that its band's value
+decodes to, and visits those of the values one bit away, so that sets of which a band differs in one bit of the word meet too. Whoever calls this chooses bands in which similar sets meet almost
+surely, and a sketch of few bits by which most others are told apart. Every pair that meets and whose sketches are near enough is then settled: it is checked
 on the full sets, or links join its two sets already. Nothing is cut off, and no list of pairs is made:
 
 1. where very many sets meet, each is checked against the nearest of the smallest sets that it meets, one pair a set, which joins most of a crowd of near copies;
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import hot_keys, spread_join, written
-from framewright.llm.simhash import components, forest
+from framewright.llm.simhash import Cover, anchors, components, forest
 
 #: What one task holds of a band value's sets: their number, and their shingles.
 HOMES, WEIGHT = 2048, 1 << 20
@@ -53,10 +54,24 @@ def radius(share: float, n: int) -> float:
     return n * share + DEVIATIONS * math.sqrt(n * share * (1 - share))
 
 
-def sent(sets: DataFrame) -> DataFrame:
-    """anchor, set, n, bits: a row for each band of each set; an anchor is a band and its value."""
+def anchors_of_words(word: int) -> list[list[int]]:
+    """For each word of a perfect Hamming code's length (3, 7 or 15): the anchor where it is at home, and then those that it visits."""
+    anchor, of, home = anchors(np.arange(1 << word), Cover((((0, word),),), word))
+    own = anchor[home == 1][np.argsort(of[home == 1])]
+    return [[int(own[w]), *sorted(set(anchor[of == w].tolist()) - {int(own[w])})] for w in range(1 << word)]
+
+
+def sent(sets: DataFrame, word: int = 0) -> DataFrame:
+    """anchor, set, n, bits: a row for each band of each set; an anchor is a band and its value. With a word, the lowest so many bits of a value, a row for each anchor that a set comes to, and visit: whether it isn't at home there."""
     rows = sets.where("n > 0").select("set", "n", "bits", F.posexplode("bands").alias("band", "value"))
-    return rows.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("value") + F.lit(1 << 31)).alias("anchor"), "set", "n", "bits")
+    extra = []
+    if word:
+        mask = (1 << word) - 1
+        code = F.array(*[F.array(*map(F.lit, found)) for found in anchors_of_words(word)])
+        rows = rows.select("set", "n", "bits", "band", "value", F.posexplode(F.get(code, F.col("value").bitwiseAND(F.lit(mask)))).alias("at", "codeword"))
+        rows = rows.withColumn("value", F.col("value").bitwiseAND(F.lit(~mask)).bitwiseOR(F.col("codeword")))
+        extra = [(F.col("at") > 0).alias("visit")]
+    return rows.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("value") + F.lit(1 << 31)).alias("anchor"), "set", "n", "bits", *extra)
 
 
 def hot_anchors(anchors: DataFrame) -> DataFrame | None:
@@ -82,12 +97,15 @@ def star(rows: DataFrame, hot: DataFrame | None, sets: DataFrame, gather, least:
 
 def placed(rows: DataFrame) -> DataFrame:
     """Rows of each anchor and part in one task: those at home (role 1) first, of larger sets first. rows: parts (null: 1) and the columns that go along.
-    A row is at home in one part of its anchor, and visits (role 0) the later ones, so that each pair meets once."""
+    A row is at home in one part of its anchor, and visits (role 0) the later ones, so that each pair meets once. One that only visits its anchor (visit, where rows have it) comes to all parts."""
     at = lambda part, role: F.struct(part.cast("int").alias("part"), F.lit(role).cast("byte").alias("role"))
     rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")))
     later = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p > F.col("own")), lambda p: at(p, 0))
-    rows = rows.withColumn("to", F.explode(F.concat(F.array(at(F.col("own"), 1)), later)))
+    to = F.concat(F.array(at(F.col("own"), 1)), later)
+    if "visit" in rows.columns:
+        to = F.when(F.col("visit"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: at(p, 0))).otherwise(to)
+    rows = rows.withColumn("to", F.explode(to))
     rows = rows.select("anchor", "to.part", "to.role", *[c for c in rows.columns if c not in ("anchor", "parts", "own", "to")])
     return sorted_places(rows)
 
@@ -112,12 +130,13 @@ def checked(pairs: DataFrame, held: DataFrame, least: Fraction) -> DataFrame:
     return rows.join(hashes("set", "u"), "set").select("set", "pivot", "u", "v").mapInArrow(check, "set long, pivot long")
 
 
-def _first_shared(bands: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """Of pairs of rows a of bands and b of others, whether the first band that both have alike is this one."""
+def _first_shared(bands: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, band: np.ndarray, word: int = 0) -> np.ndarray:
+    """Of pairs of rows a of bands and b of others, whether the first band that both have alike, but for one bit of the word, is this one."""
     out = np.zeros(len(a), bool)
     for s in range(0, len(a), SLICE):
-        alike = bands[a[s : s + SLICE]] == others[b[s : s + SLICE]]
-        out[s : s + SLICE] = alike.argmax(1) == band[s : s + SLICE]
+        off = bands[a[s : s + SLICE]] ^ others[b[s : s + SLICE]]
+        alike = (off >> word == 0) & (off & off - 1 == 0) if word else off == 0
+        out[s : s + SLICE] = (alike.argmax(1) == band[s : s + SLICE]) & alike.any(1)
     return out
 
 
@@ -126,7 +145,7 @@ def _matrix(column: pa.ListArray, kind: str) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _open_pairs(rows: dict, homes: dict, visits: np.ndarray, first: np.ndarray, counts: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(rows: dict, homes: dict, visits: np.ndarray, first: np.ndarray, counts: np.ndarray, within: float, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(visit, home) of pairs that are to be checked: of different components, of near sketches, and here in the first band that they share (where rows have their bands).
     Visit k of rows meets counts[k] of homes from first[k] on."""
     v = np.repeat(visits, counts)
@@ -140,7 +159,7 @@ def _open_pairs(rows: dict, homes: dict, visits: np.ndarray, first: np.ndarray,
     v, h = v[bits <= within], h[bits <= within]
     if rows["bands"] is None:
         return v, h
-    keep = _first_shared(rows["bands"], v, homes["bands"], h, rows["key"][v] >> 48)
+    keep = _first_shared(rows["bands"], v, homes["bands"], h, rows["key"][v] >> 48, word)
     return v[keep], h[keep]
 
 
@@ -155,7 +174,7 @@ def _columns(batch: pa.RecordBatch) -> dict:
 _PLACE = "anchor long, part int, role byte, set long, label long"
 
 
-def _needed(within: float):
+def _needed(within: float, word: int = 0):
     """Rows sorted by place, role (those at home first) and set, large ones first, so that a later row visits the held ones; out: the rows, as they are, that have an open pair there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +194,7 @@ def _needed(within: float):
                 begin, of_visits, of_homes = 0, np.zeros(batch.num_rows, bool), np.zeros(table.num_rows, bool)
                 while begin < len(visits):
                     end = max(begin + 1, int(np.searchsorted(total, total[begin] + CHUNK, "right")) - 1)
-                    v, h = _open_pairs(at, homes, visits[begin:end], first[begin:end], counts[begin:end], within)
+                    v, h = _open_pairs(at, homes, visits[begin:end], first[begin:end], counts[begin:end], within, word)
                     of_visits[v], of_homes[h] = True, True
                     begin = end
                 yield batch.filter(pa.array(of_visits))
@@ -185,7 +204,7 @@ def _needed(within: float):
     return run
 
 
-def _settle(least: Fraction, within: float):
+def _settle(least: Fraction, within: float, word: int = 0):
     """Rows as _needed gives them, with their hashes, sorted likewise; out: a forest of the links among each place's open pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +220,7 @@ def _settle(least: Fraction, within: float):
             order, left, right = np.arange(len(homes["set"])), [], []
             mark = np.zeros(len(vocabulary), bool)
             for k in range(len(own)):
-                _, h = _open_pairs(rows, homes, np.array([k]), order[:1], order[-1:] + 1, within)
+                _, h = _open_pairs(rows, homes, np.array([k]), order[:1], order[-1:] + 1, within, word)
                 if not len(h):
                     continue
                 at = np.searchsorted(vocabulary, own[k])
@@ -244,42 +263,45 @@ def _settle(least: Fraction, within: float):
     return run
 
 
-def links(sets: DataFrame, gather, least: Fraction, share: float) -> DataFrame:
+def links(sets: DataFrame, gather, least: Fraction, share: float, word: int = 0) -> DataFrame:
     """sets: SETS, a row a set. gather(some: set, first) gives (set, hashes: binary) of some sets; share: of the bits of sketches, that differ between
-    sets of the least similarity. (set, pivot): links that join all sets joined by chains of pairs that meet in a band, have near sketches, and have at least this
-    Jaccard similarity."""
+    sets of the least similarity; word: of how many low bits of a band's value one may differ between sets that meet (0: none; else the length of a perfect Hamming code). (set, pivot): links that join
+    all sets joined by chains of pairs that meet in a band, have near sketches, and have at least this Jaccard similarity."""
     n_bits = 64 * (sets.agg(F.max(F.size("bits"))).first()[0] or FIRST)
     within = radius(share, n_bits)
     wanted = lambda some: gather(some.distinct().join(sets.select("set", "first"), "set"))
-    rows = sent(sets)
-    crowded = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > HOMES)
+    rows = sent(sets, word)
+    visit = ["visit"] if word else []
+    at_home = ~F.col("visit") if word else F.lit(True)
+    homes = F.count_if(at_home)
+    crowded = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets"), homes.alias("homes")).where(F.col("homes") > HOMES)
     crowded = written(crowded, "meeting-crowded")
     first, hot = None, hot_anchors(crowded)
     rows = rows.withColumn("label", F.col("set"))
-    parts = crowded.select("anchor", F.ceil(F.col("sets") / HOMES).cast("int").alias("parts"))
+    parts = crowded.select("anchor", F.ceil(F.col("homes") / HOMES).cast("int").alias("parts"))
     if not crowded.isEmpty():
-        first = star(rows.join(crowded.select("anchor"), "anchor", "left_semi"), hot, sets, wanted, least, within)
+        first = star(rows.where(at_home).join(crowded.select("anchor"), "anchor", "left_semi"), hot, sets, wanted, least, within)
         labels = components(first, "set", "pivot").select(F.col("node").alias("set"), F.col("label").alias("of"))
         rows = rows.join(labels, "set", "left").withColumn("label", F.coalesce("of", "set")).drop("of")
     rows = spread_join(rows, parts, "anchor", "set", hot, "left")
     few = [F.get("bits", F.lit(k)).alias(f"bits_{k}") for k in range(FIRST)]
-    schema = _PLACE + "".join(f", bits_{k} long" for k in range(FIRST))
-    near = placed(rows.select("anchor", "set", "label", *few, "parts")).mapInArrow(_needed(radius(share, 64 * FIRST)), schema)
-    near = written(near.select("anchor", "set").distinct(), "meeting-near")
+    schema = _PLACE + "".join(f", bits_{k} long" for k in range(FIRST)) + ", visit boolean" * len(visit)
+    near = placed(rows.select("anchor", "set", "label", *few, *visit, "parts")).mapInArrow(_needed(radius(share, 64 * FIRST)), schema)
+    near = written(near.select("anchor", "set", *visit).distinct(), "meeting-near")
 
     found = star(near, hot, sets, wanted, least, within)
     found = found if first is None else found.unionByName(first)
     labels = components(found, "set", "pivot").withColumnRenamed("node", "set")
     labelled = near.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")).join(sets.select("set", "n"), "set")
     labelled = written(labelled, "meeting-labelled")
-    open_ = labelled.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    parts = F.greatest(F.ceil(F.col("sets") / HOMES), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    open_ = labelled.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets"), homes.alias("homes"), F.sum(F.when(at_home, F.col("n"))).alias("weight"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    parts = F.greatest(F.ceil(F.col("homes") / HOMES), F.ceil(F.col("weight") / WEIGHT)).cast("int")
     open_ = written(open_.select("anchor", "sets", parts.alias("parts")), "meeting-open")
     rows = spread_join(labelled, open_.select("anchor", "parts"), "anchor", "set", hot_anchors(open_))
-    rows = rows.join(sets.select("set", "bits", "bands"), "set").select("anchor", "set", "label", "bits", "bands", "parts")
-    needed = placed(rows).mapInArrow(_needed(within), _PLACE + ", bits array<long>, bands array<int>").dropDuplicates(["anchor", "part", "role", "set"])
+    rows = rows.join(sets.select("set", "bits", "bands"), "set").select("anchor", "set", "label", "bits", "bands", *visit, "parts")
+    needed = placed(rows).drop("visit").mapInArrow(_needed(within, word), _PLACE + ", bits array<long>, bands array<int>").dropDuplicates(["anchor", "part", "role", "set"])
     needed = written(needed, "meeting-needed")
     held = written(wanted(needed.select("set")), "meeting-sets")
     brought = sorted_places(needed.join(held, "set").select("anchor", "part", "role", "set", "label", "bits", "bands", "hashes"))
-    more = brought.mapInArrow(_settle(least, within), "set long, pivot long")
+    more = brought.mapInArrow(_settle(least, within, word), "set long, pivot long")
     return written(found.unionByName(more), "meeting-links")

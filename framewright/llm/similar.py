@@ -1,8 +1,8 @@
-"""Near-duplicates by similarity: SimHash bands let pairs meet, the exact Jaccard similarity of word shingles decides.
+"""Near-duplicates by similarity: SimHashes meet at the anchors of a covering code, their differing bits are counted, and the exact Jaccard similarity of word shingles decides.
 
-A text is its set of shingles. Of sixteen 64-bit SimHashes of the set, bands are read: 64 of 16 bits each, and for corpora of millions of sets
-longer ones and more of them, so that few unlike sets share one at any size. At similarity 0.8 about 15 % of the
-bits differ, so one band of 16 is shared with probability 0.07, one of 64 with 0.99; at 0.85 with 0.999.
+A text is its set of shingles. Sixteen 64-bit SimHashes of the set are cut into parts of 19 bits, and for corpora of millions of sets into longer ones and more of them, so that few unlike sets meet at any size.
+As in simhash, a part's anchors are the words of a perfect Hamming code (of 7 bits) with its other bits as they are: a set is at home at the anchor that its part decodes to, and visits those of
+the words one bit away. So two sets meet where a part differs in at most one bit of the word. At similarity 0.8 about 15 % of the bits differ, so they do in one part with probability 0.10, in one of 46 with 0.99; at 0.85 with 0.999.
 
 Only distinct sets are sent. All pairs that meet are settled on the sets themselves (see meeting), so no link is below the similarity asked for, and none that meets is left out.
 """
@@ -27,8 +27,10 @@ from framewright.llm.simhash import components
 WIDTH, SIMILARITY = 5, 0.8
 #: SimHashes of a set, and how many of them are its sketch.
 WORDS, SKETCH = 16, 4
-#: Bits of a band up to 2^22 sets, and the chance that two sets of the least similarity share none.
+#: Bits that tell a part's anchors apart up to 2^22 sets, and the chance that two sets of the least similarity meet nowhere.
 BITS, MISSED = 16, 0.0085
+#: Bits of a part that are a word of the covering code.
+WORD = 7
 #: Shingles whose bits are counted at once.
 _STEP = 4096
 _SALTS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -77,10 +79,13 @@ def differing(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def band_places(n_sets: int, similarity: float) -> np.ndarray:
-    """Which bits of a set's SimHashes make each band, a row a band: longer with more sets, and as many as MISSED needs."""
-    bits = max(BITS, math.ceil(math.log2(max(2, n_sets))) - 6)
-    n = math.ceil(math.log(MISSED) / math.log1p(-((1 - differing(similarity)) ** bits)))
+def band_places(n_sets: int, similarity: float, word: int = 0) -> np.ndarray:
+    """Which bits of a set's SimHashes make each band, a row a band: longer with more sets, and as many as MISSED needs. word: the first so many bits of a band are a word of
+    a perfect Hamming code, in which sets that meet may differ in one bit; they count as those that tell its codewords apart."""
+    bits = max(BITS, math.ceil(math.log2(max(2, n_sets))) - 6) + (word + 1).bit_length() - 1
+    same = 1 - differing(similarity)
+    meets = same**bits * (1 + word * (1 - same) / same)
+    n = math.ceil(math.log(MISSED) / math.log1p(-meets))
     if bits * n <= 64 * WORDS:
         return np.arange(bits * n).reshape(n, bits)
     random = np.random.default_rng(bits)
@@ -100,10 +105,11 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def banded(sets: DataFrame, similarity: float) -> DataFrame:
-    """set, n, first, bands, bits: the bands of sets (set, n, first, prints) that so many sets need."""
-    where = band_places(sets.count(), similarity)
-    n, width = where.shape
+    """set, n, first, bands, bits: the bands of sets (set, n, first, prints) that so many sets need, each with its word in the lowest WORD bits."""
+    where = band_places(sets.count(), similarity, WORD)
+    width = where.shape[1] - WORD
     weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    room = 32 - WORD
     schema = pa.schema([("set", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("bands", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
     lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
 
@@ -113,9 +119,11 @@ def banded(sets: DataFrame, similarity: float) -> DataFrame:
                 part = batch.slice(begin, 1024)
                 raw = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1)
-                bands = np.stack([bits[:, at].astype(np.uint64) @ weights for at in where], 1)
-                if width > 32:
-                    bands = bands * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                words = np.stack([bits[:, at[:WORD]].astype(np.uint64) @ weights[:WORD] for at in where], 1)
+                bands = np.stack([bits[:, at[WORD:]].astype(np.uint64) @ weights for at in where], 1)
+                if width > room:
+                    bands = bands * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - room)
+                bands = bands << np.uint64(WORD) | words
                 sketch = raw[:, : 8 * SKETCH].copy().view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], lists(bands.astype(np.uint32).view(np.int32), pa.int32()), lists(sketch, pa.int64())], schema=schema)
 
@@ -140,7 +148,7 @@ def similar_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     rows = written(prints(docs, width), "similar-prints")
     sets = written(rows.groupBy("set", "n", "prints").agg(F.min("doc_id").alias("first")), "similar-distinct")
     bands = written(banded(sets, similarity), "similar-bands")
-    found = links(bands, lambda some: gathered(some, docs, width), Fraction(str(similarity)), differing(similarity))
+    found = links(bands, lambda some: gathered(some, docs, width), Fraction(str(similarity)), differing(similarity), WORD)
     return rows.select("doc_id", "set"), sets.select("set", "first"), found.select(F.col("set").alias("a"), F.col("pivot").alias("b"))
 
 

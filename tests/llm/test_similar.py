@@ -1,11 +1,12 @@
 """The pipeline's near-duplicate stage on copies edited to similarities around 0.8, against all pairs."""
 
 import random
+from fractions import Fraction
 
 import corpus_pipeline
 import pytest
 from framewright.llm import meeting
-from framewright.llm.similar import band_places, differing, similar_links, without_similar
+from framewright.llm.similar import MISSED, WORD, band_places, differing, gathered, prints, similar_links, without_similar
 
 
 def shingle_set(text):
@@ -111,3 +112,32 @@ def test_bands_for_any_number_of_sets():
         bands, bits = where.shape
         assert n / 2**bits <= 64 and where.max() < 1024 and all(len(set(row)) == bits for row in where.tolist())
         assert (1 - (1 - differing(0.8)) ** bits) ** bands <= 0.0085
+
+
+def test_parts_meet_at_anchors_of_a_covering_code():
+    """Each word's own anchor is visited from all words one bit away; parts that may differ in a bit of theirs are as many as MISSED needs."""
+    code = meeting.anchors_of_words(WORD)
+    assert len({c[0] for c in code}) == 1 << WORD - 3 and all(len(c) == len(set(c)) for c in code)
+    assert all(code[w][0] in code[w ^ 1 << bit] for w in range(1 << WORD) for bit in range(WORD))
+    for n in (10**6, 10**9, 10**11):
+        parts, bits = band_places(n, 0.8, WORD).shape
+        same = 1 - differing(0.8)
+        meets = same ** (bits - WORD) * (same**WORD + WORD * (1 - same) * same ** (WORD - 1))
+        assert (1 - meets) ** parts <= MISSED and n / 2 ** (bits - 3) <= 64
+
+
+@pytest.mark.parametrize("homes", [2048, 1])
+def test_sets_meet_where_a_bit_of_every_word_differs(spark, table, monkeypatch, homes):
+    """No band is alike in any two sets of a pair: they are linked by the anchors that they come to. A bit beside the word is too far."""
+    monkeypatch.setattr(meeting, "HOMES", homes)
+    pairs = edited(30, 5)
+    near = [k for k, (a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8]
+    docs = table([(2 * k + j, t, "a") for k, pair in enumerate(pairs) for j, t in enumerate(pair)])
+    off = {0: 0, 1: 1 << 2, 2: 1 << WORD}
+    rows = [(r.set, r.n, r.doc_id, r.doc_id % 2, r.doc_id // 2) for r in prints(docs, 5).collect()]
+    for how in (1, 2):
+        sets = [(s, n, i, [(pair * 991 + band) * 256 ^ off[how * j] for band in range(4)], [0, 0]) for s, n, i, j, pair in rows]
+        found = meeting.links(spark.createDataFrame(sets, meeting.SETS), lambda some: gathered(some, docs, 5), Fraction(4, 5), differing(0.8), WORD).collect()
+        ids = {s: i for s, _, i, *_ in rows}
+        linked = {tuple(sorted((ids[r.set], ids[r.pivot]))) for r in found}
+        assert linked == ({(2 * k, 2 * k + 1) for k in near} if how == 1 else set())
