@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from framewright.operators.statistics import leaf_stats, merge_stats
+from framewright.operators.ranges import stored
+from framewright.operators.statistics import merge_stats, repeated_leaf_stats
 
 #: What two leaves of one path must have alike, in the order in which they are compared.
 LEAF_META = ("type", "is_relative", "allow_relative", "representation", "dim")
@@ -49,15 +50,21 @@ def schema_differences(nodes: DataFrame, robot: str, episode: str, position: str
     meta = [F.col(c).cast("string").alias(c) for c in LEAF_META]
     kind = F.when(F.col("leaf"), "leaf").otherwise("composite")
     name = F.regexp_extract("path", r"([^.]*)$", 1)
-    flat = nodes.select(robot, episode, position, "path", "parent", "place", name.alias("name"), kind.alias("kind"), *meta)
-    first = flat.groupBy(robot).agg(F.min(position).alias("__first"))
-    flat = flat.join(first, robot)
-    fields = flat.where("parent is not null").groupBy(robot, episode, position, "__first", F.col("parent").alias("path")).agg(F.array_sort(F.collect_list("name")).alias("fields"))
-    flat = flat.join(fields.select(robot, position, "path", "fields"), [robot, position, "path"], "left")
-    values = F.create_map(*[x for c in ("fields", "kind", *LEAF_META) for x in (F.lit(c), F.array_join("fields", ",") if c == "fields" else F.col(c))])
-    flat = flat.withColumn("values", values)
-    existing = flat.where(F.col(position) == F.col("__first")).select(robot, "path", F.col("values").alias("existing"))
-    met = flat.where(F.col(position) != F.col("__first")).join(existing, [robot, "path"])
+    # a row an episode, without its data: made once, and only those that differ from the first are taken apart again
+    trees = nodes.where(F.col(robot).isNotNull()).groupBy(robot, episode, position).agg(F.sort_array(F.collect_list(F.struct("place", "path", "parent", name.alias("name"), kind.alias("kind"), *meta))).alias("__tree"))
+    trees = stored(trees, "schema-trees")
+    first = stored(trees.groupBy(robot).agg(F.min(position).alias("__first"), F.min_by("__tree", position).alias("__of")), "schema-first")
+    trees = trees.join(first, robot).where((F.col(position) != F.col("__first")) & ~F.col("__tree").eqNullSafe(F.col("__of")))
+
+    def described(rows: DataFrame, tree: str, *keys: str) -> DataFrame:
+        rows = rows.select(*keys, tree, F.explode(tree).alias("__n")).select(*keys, tree, "__n.*")
+        below = F.transform(F.filter(tree, lambda n: n["parent"] == F.col("path")), lambda n: n["name"])
+        fields = F.when(F.size(below) > 0, F.array_join(F.array_sort(below), ","))
+        values = F.create_map(*[x for c in ("fields", "kind", *LEAF_META) for x in (F.lit(c), fields if c == "fields" else F.col(c))])
+        return rows.select(*keys, "path", "place", values.alias("values"))
+
+    existing = described(first, "__of", robot).select(robot, "path", F.col("values").alias("existing"))
+    met = described(trees, "__tree", robot, episode, position).join(existing, [robot, "path"])
     # a path that one side lacks is told by the fields of the composite above it
     apart = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("what"), F.col("existing")[c].alias("existing"), F.col("values")[c].alias("new")) for k, c in enumerate(("fields", "kind", *LEAF_META))]), lambda d: ~d["existing"].eqNullSafe(d["new"]))
     met = met.withColumn("__d", F.get(apart, F.lit(0))).where(F.col("__d").isNotNull())
@@ -71,7 +78,9 @@ def fold_schemas(nodes: DataFrame, robot: str, position: str) -> DataFrame:
     leaves = nodes.where("leaf")
     described = leaves.groupBy(robot, "path").agg(F.min_by(F.struct("place", *LEAF_META), position).alias("m"), F.min(position).alias("first"))
     values = leaves.select(robot, "path", F.explode("data").alias("row")).select(robot, "path", F.posexplode("row").alias("i", "x"))
-    stats = leaf_stats(values, [robot, "path", "i"], "x")
+    # the trees are made twice only: for what leaves are, and for how often each value stands in its dimension
+    values = stored(values.groupBy(robot, "path", "i", "x").agg(F.count(F.lit(1)).alias("__times")), "schema-values")
+    stats = repeated_leaf_stats(values, [robot, "path", "i"], "x", "__times")
     return stats.join(described, [robot, "path"]).select(robot, "path", "i", "first", "m.*", *[c for c in stats.columns if c not in (robot, "path", "i")])
 
 

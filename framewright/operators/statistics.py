@@ -30,8 +30,8 @@ def _group(keys: list[str]) -> Column:
     return F.to_json(F.struct(*keys)) if keys else F.lit("")
 
 
-def values_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows: g, x. wanted: g, rank (from 0 in order of x), and lo, hi, count: the group's least and largest x and their number. g, rank, at: the x at these ranks.
+def values_at(rows: DataFrame, wanted: DataFrame, times: str | None = None) -> DataFrame:
+    """rows: g, x. wanted: g, rank (from 0 in order of x), and lo, hi, count: the group's least and largest x and their number. g, rank, at: the x at these ranks. times: a column that says for how many equal values a row stands (none: one).
 
     Values are counted in CELLS ranges between lo and hi, and the range that has the rank becomes the next lo and hi, until it has one value or FEW rows, which
     are sorted. Exact for groups of any size; a task holds the counts of ranges, or FEW values. Nulls aren't counted."""
@@ -43,7 +43,7 @@ def values_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         is_one, is_few = F.col("lo") == F.col("hi"), F.col("count") <= FEW
         within = lambda ranges: rows.join(ranges.select(*at).distinct(), "g").where(F.col("x").between(F.col("lo"), F.col("hi")))
         few = left.where(~is_one & is_few)
-        values = within(few).groupBy(*at).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+        values = within(few).groupBy(*at).agg(F.array_sort(F.collect_list("x") if times is None else F.flatten(F.collect_list(F.array_repeat("x", F.col(times).cast("int"))))).alias("xs"))
         ended = left.where(is_one).select("g", "rank", F.col("lo").alias("at"))
         ended = ended.unionByName(few.join(values, at).select("g", "rank", F.get("xs", (F.col("rank") - F.col("before")).cast("int")).alias("at")))
         ended = stored(ended, "quantile-values")
@@ -52,7 +52,7 @@ def values_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         if left.isEmpty():
             return found
         cell = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))
-        counts = within(left).groupBy(*at, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        counts = within(left).groupBy(*at, cell.alias("cell")).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
         ahead = F.sum("n").over(Window.partitionBy(*at).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
         counts = counts.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
         rank = F.col("rank") - F.col("before")
@@ -60,13 +60,13 @@ def values_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         left = left.select("g", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("n").alias("count"), (F.col("before") + F.col("ahead")).alias("before"))
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], whole: DataFrame | None = None) -> DataFrame:
-    """keys, and a column for each of the named shares: exact quantiles, linear between values. Null keys are groups. whole: keys with n, min and max, where a caller has them."""
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], whole: DataFrame | None = None, times: str | None = None) -> DataFrame:
+    """keys, and a column for each of the named shares: exact quantiles, linear between values. Null keys are groups. whole: keys with n, min and max, where a caller has them; rows stand for times values then."""
     whole = (moments(rows, keys, value) if whole is None else whole).select(*keys, _group(keys).alias("g"), F.col("n").alias("count"), F.col("min").cast("double").alias("lo"), F.col("max").cast("double").alias("hi"))
     place = {name: (F.col("count") - 1) * F.lit(share) for name, share in shares.items()}
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in place.values()])))
     wanted = whole.where("count > 0").select("g", F.explode(ranks).alias("rank"), "lo", "hi", "count")
-    found = values_at(rows.select(_group(keys).alias("g"), F.col(value).cast("double").alias("x")), wanted)
+    found = values_at(rows.select(_group(keys).alias("g"), F.col(value).cast("double").alias("x"), *([times] if times else [])), wanted, times)
     found = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "at"))).alias("at"))
     at = lambda p, part: F.col("at")[part(p).cast("long")]
     return whole.join(found, "g", "left").select(*keys, *[(at(p, F.floor) + (at(p, F.ceil) - at(p, F.floor)) * (p - F.floor(p))).alias(name) for name, p in place.items()])
@@ -79,6 +79,22 @@ def leaf_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return whole.join(q, _same(whole, q, keys)).drop(*[f"__{k}" for k in keys])
 
 
+def repeated_leaf_stats(times: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """leaf_stats of values that stand so many times (count) in their group: a narrow table, which is read several times, so it should be a stored one."""
+    times = times.select(*keys, F.col(value).cast("double").alias("__x"), F.col(count).alias("__times"))
+    x, w = F.col("__x"), F.when(F.col("__x").isNotNull(), F.col("__times")).otherwise(0)
+    sums = times.groupBy(*keys).agg(F.sum(w).alias("n"), (F.sum(w * x) / F.nullif(F.sum(w), F.lit(0))).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    sums = stored(sums, "leaf-sums")
+    means = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("mean").alias("__mean"), F.col("n").alias("__n"))
+    gap = x - F.col("__mean")
+    spread = times.join(means, _same(times, means, keys)).groupBy(*[f"__{k}" for k in keys], "__n").agg(F.sum(w * gap * gap).alias("__q"))
+    std = F.when(F.col("__n") > 1, F.sqrt(F.col("__q") / (F.col("__n") - 1))).otherwise(0.0)
+    spread = spread.select(*[f"__{k}" for k in keys], std.alias("std"))
+    whole = sums.join(spread, _same(sums, spread, keys)).select(*keys, "n", "mean", "std", "min", "max")
+    q = quantiles(times, keys, "__x", {"q01": 0.01, "q99": 0.99}, sums, "__times").withColumnsRenamed({k: f"__{k}" for k in keys})
+    return whole.join(q, _same(whole, q, keys)).drop(*[f"__{k}" for k in keys])
+
+
 #: Rows of a reservoir.
 RESERVOIR = 200_000
 

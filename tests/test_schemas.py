@@ -56,3 +56,27 @@ def test_folds_merge_in_any_order(spark):
     other = schemas.fold_schemas(nodes(spark, [("a", "x", 1, tree(1.0, name="rotvec"))]), "robot", "position")
     with pytest.raises(Exception, match="leaves that differ: a body.left.wrist"):
         schemas.merge_folds([folds[0], other], "robot").collect()
+
+
+def test_trees_are_made_once_or_twice_however_many_values(spark, monkeypatch):
+    """How often a tree is computed doesn't grow with the ranges that quantiles are looked for in; values that repeat count as often as they stand."""
+    from framewright.operators import statistics
+
+    monkeypatch.setattr(statistics, "FEW", 8)
+    monkeypatch.setattr(statistics, "CELLS", 4)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", f"e{k}", k, tree(float(k * k % 97))) for k in range(200)]
+    source = spark.createDataFrame(rows, f"robot string, episode string, position long, tree {TREE}")
+    found = schemas.schema_rows(source.mapInArrow(counted, source.schema), ["robot", "episode", "position"], "tree")
+    got = {(r.path, r.i): r for r in schemas.fold_schemas(found, "robot", "position").collect()}["head", 1]
+    x = sorted(float(k * k % 97) for k in range(200))
+    assert (got.n, got.min, got.max, got.q01, got.q99) == (200, x[0], x[-1], pytest.approx(x[1] + 0.99 * (x[2] - x[1])), pytest.approx(x[197] + 0.01 * (x[198] - x[197])))
+    assert got.mean == pytest.approx(sum(x) / 200) and made.value <= 2 * len(rows)
+    before = made.value
+    assert schemas.schema_differences(found, "robot", "episode", "position").collect() == [] and made.value == before + len(rows)
