@@ -1,12 +1,12 @@
 """Links between sets that meet in a band, decided on the sets themselves.
 
 Two sets meet where they have the same value in a band or, with the words of a covering code, at an anchor: a set is at home at the anchor that its band's value
-decodes to, and visits those of the values one bit away, so that sets of which a band differs in one bit of the word meet too. Whoever calls this chooses bands in which similar sets meet almost
+decodes to, and visits those of the values one bit away that are below its own, so that sets of which a band differs in one bit of the word meet too, and at one anchor. Whoever calls this chooses bands in which similar sets meet almost
 surely, and a sketch of few bits by which most others are told apart. Every pair that meets and whose sketches are near enough is then settled: it is checked
 on the full sets, or links join its two sets already. Nothing is cut off, and no list of pairs is made:
 
 1. where very many sets meet, each is checked against the nearest of the smallest sets that it meets, one pair a set, which joins most of a crowd of near copies;
-2. a task compares the first bits of the sketches of sets that meet and aren't joined yet, and tells which sets are near some other there. Most
+2. a task compares the first bits (or all) of the sketches of sets that meet and aren't joined yet, and tells which sets are near some other there. Most
    that meet by chance end here;
 3. each of those sets is checked against the nearest of the smallest sets there;
 4. where sets of different components are still near, whole sketches are compared, each pair in the first band that it shares, which leaves
@@ -34,7 +34,7 @@ from framewright.llm.simhash import Cover, anchors, components, forest
 HOMES, WEIGHT = 2048, 1 << 20
 #: Pairs of sketches, and of band lists, compared at once.
 CHUNK, SLICE = 1 << 19, 1 << 15
-#: Longs of a sketch that the first comparison reads, and standard deviations of its bits that a pair may be off.
+#: Longs of a sketch that the first comparison reads unless told otherwise, and standard deviations of its bits that a pair may be off.
 FIRST, DEVIATIONS = 2, 5
 SETS = "set long, n int, first long, bands array<int>, bits array<long>"
 
@@ -62,12 +62,13 @@ def anchors_of_words(word: int) -> list[list[int]]:
 
 
 def sent(sets: DataFrame, word: int = 0) -> DataFrame:
-    """anchor, set, n, bits: a row for each band of each set; an anchor is a band and its value. With a word, the lowest so many bits of a value, a row for each anchor that a set comes to, and visit: whether it isn't at home there."""
+    """anchor, set, n, bits: a row for each band of each set; an anchor is a band and its value. With a word, the lowest so many bits of a value, a row for each anchor that a set comes to, and visit: whether it isn't at home there.
+    Of two anchors one bit apart, those at home at the upper one visit the lower one: a pair that visits both ways would be found, and brought, twice."""
     rows = sets.where("n > 0").select("set", "n", "bits", F.posexplode("bands").alias("band", "value"))
     extra = []
     if word:
         mask = (1 << word) - 1
-        code = F.array(*[F.array(*map(F.lit, found)) for found in anchors_of_words(word)])
+        code = F.array(*[F.array(*[F.lit(c) for c in found if c <= found[0]]) for found in anchors_of_words(word)])
         rows = rows.select("set", "n", "bits", "band", "value", F.posexplode(F.get(code, F.col("value").bitwiseAND(F.lit(mask)))).alias("at", "codeword"))
         rows = rows.withColumn("value", F.col("value").bitwiseAND(F.lit(~mask)).bitwiseOR(F.col("codeword")))
         extra = [(F.col("at") > 0).alias("visit")]
@@ -263,9 +264,9 @@ def _settle(least: Fraction, within: float, word: int = 0):
     return run
 
 
-def links(sets: DataFrame, gather, least: Fraction, share: float, word: int = 0) -> DataFrame:
+def links(sets: DataFrame, gather, least: Fraction, share: float, word: int = 0, longs: int = FIRST) -> DataFrame:
     """sets: SETS, a row a set. gather(some: set, first) gives (set, hashes: binary) of some sets; share: of the bits of sketches, that differ between
-    sets of the least similarity; word: of how many low bits of a band's value one may differ between sets that meet (0: none; else the length of a perfect Hamming code). (set, pivot): links that join
+    sets of the least similarity; word: of how many low bits of a band's value one may differ between sets that meet (0: none; else the length of a perfect Hamming code); longs: of a sketch, that the first comparison reads. (set, pivot): links that join
     all sets joined by chains of pairs that meet in a band, have near sketches, and have at least this Jaccard similarity."""
     n_bits = 64 * (sets.agg(F.max(F.size("bits"))).first()[0] or FIRST)
     within = radius(share, n_bits)
@@ -284,9 +285,9 @@ def links(sets: DataFrame, gather, least: Fraction, share: float, word: int = 0)
         labels = components(first, "set", "pivot").select(F.col("node").alias("set"), F.col("label").alias("of"))
         rows = rows.join(labels, "set", "left").withColumn("label", F.coalesce("of", "set")).drop("of")
     rows = spread_join(rows, parts, "anchor", "set", hot, "left")
-    few = [F.get("bits", F.lit(k)).alias(f"bits_{k}") for k in range(FIRST)]
-    schema = _PLACE + "".join(f", bits_{k} long" for k in range(FIRST)) + ", visit boolean" * len(visit)
-    near = placed(rows.select("anchor", "set", "label", *few, *visit, "parts")).mapInArrow(_needed(radius(share, 64 * FIRST)), schema)
+    few = [F.get("bits", F.lit(k)).alias(f"bits_{k}") for k in range(longs)]
+    schema = _PLACE + "".join(f", bits_{k} long" for k in range(longs)) + ", visit boolean" * len(visit)
+    near = placed(rows.select("anchor", "set", "label", *few, *visit, "parts")).mapInArrow(_needed(radius(share, 64 * longs)), schema)
     near = written(near.select("anchor", "set", *visit).distinct(), "meeting-near")
 
     found = star(near, hot, sets, wanted, least, within)

@@ -2,7 +2,7 @@
 
 A text is its set of shingles. Sixteen 64-bit SimHashes of the set are cut into parts of 19 bits, and for corpora of millions of sets into longer ones and more of them, so that few unlike sets meet at any size.
 As in simhash, a part's anchors are the words of a perfect Hamming code (of 7 bits) with its other bits as they are: a set is at home at the anchor that its part decodes to, and visits those of
-the words one bit away. So two sets meet where a part differs in at most one bit of the word. At similarity 0.8 about 15 % of the bits differ, so they do in one part with probability 0.10, in one of 46 with 0.99; at 0.85 with 0.999.
+the words one bit away, if they are below it. So two sets meet where a part differs in at most one bit of the word. At similarity 0.8 about 15 % of the bits differ, so they do in one part with probability 0.10, in one of 46 with 0.99; at 0.85 with 0.999. A set comes to 106 anchors on average.
 
 Only distinct sets are sent. All pairs that meet are settled on the sets themselves (see meeting), so no link is below the similarity asked for, and none that meets is left out.
 """
@@ -148,7 +148,7 @@ def similar_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     rows = written(prints(docs, width), "similar-prints")
     sets = written(rows.groupBy("set", "n", "prints").agg(F.min("doc_id").alias("first")), "similar-distinct")
     bands = written(banded(sets, similarity), "similar-bands")
-    found = links(bands, lambda some: gathered(some, docs, width), Fraction(str(similarity)), differing(similarity), WORD)
+    found = links(bands, lambda some: gathered(some, docs, width), Fraction(str(similarity)), differing(similarity), WORD, SKETCH)
     return rows.select("doc_id", "set"), sets.select("set", "first"), found.select(F.col("set").alias("a"), F.col("pivot").alias("b"))
 
 

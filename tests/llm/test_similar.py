@@ -141,3 +141,15 @@ def test_sets_meet_where_a_bit_of_every_word_differs(spark, table, monkeypatch,
         ids = {s: i for s, _, i, *_ in rows}
         linked = {tuple(sorted((ids[r.set], ids[r.pivot]))) for r in found}
         assert linked == ({(2 * k, 2 * k + 1) for k in near} if how == 1 else set())
+
+
+def test_a_pair_meets_at_one_anchor_of_a_part(spark):
+    """Sets whose words differ in one bit: at one anchor one of them is at home and the other there, at two before."""
+    sets = spark.createDataFrame([(w, 5, w, [w], [0, 0]) for w in range(1 << WORD)], meeting.SETS)
+    at = {}
+    for r in meeting.sent(sets, WORD).collect():
+        at.setdefault(r.set, {})[r.anchor] = not r.visit
+    for w in at:
+        for near in (at[w ^ 1 << bit] for bit in range(WORD)):
+            assert sum(at[w][a] or near[a] for a in at[w].keys() & near.keys()) == 1
+    assert len(at) == 1 << WORD and sum(map(len, at.values())) * len(band_places(10**5, 0.8, WORD)) <= 107 * len(at)
