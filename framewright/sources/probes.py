@@ -21,6 +21,13 @@ ITEM = "rgb string, depth_npz string, flow_npz string, flow_mp4 string, scene_id
 COUNTS = "path string, stamp string, height long, width long, num_frames long"
 #: Bytes of a member that are read for its header, at most.
 HEADER = 1 << 16
+#: Files that a task creates, asks for or opens.
+FILES = 1024
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for work that costs by file: Spark sizes tasks by bytes, of which names have few."""
+    return max(1, -(-rows.count() // FILES))
 
 
 def read_scene_list(spark: SparkSession, path: str, depth_root: str | None = None, flow_root: str | None = None) -> DataFrame:
@@ -84,15 +91,15 @@ def _stamps(paths: list[str | None]) -> list[str | None]:
     return out
 
 
-def _stamped(paths: DataFrame) -> DataFrame:
-    """paths: one column path, each once. Adds stamp, asked for in tasks; no file is opened."""
+def _stamped(paths: DataFrame, tasks: int | None = None) -> DataFrame:
+    """paths: one column path, each once. Adds stamp, asked for in so many tasks; no file is opened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _stamps(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "stamp"])
 
-    return paths.select("path").mapInArrow(run, "path string, stamp string")
+    return paths.select("path").repartition(tasks or _tasks(paths), "path").mapInArrow(run, "path string, stamp string")
 
 
 def shape_of(file, member: str = "depth.npy") -> tuple[int, ...]:
@@ -116,7 +123,8 @@ def update_counts(scenes: DataFrame, store: str, column: str = "depth_npz", memb
     spark = scenes.sparkSession
     paths = scenes.where(F.coalesce(F.col(column), F.lit("")) != "").select(F.col(column).alias("path")).distinct()
     known = known_counts(spark, store).where("height IS NOT NULL").select("path", "stamp").distinct()
-    new = _stamped(paths).where("stamp IS NOT NULL").join(known, ["path", "stamp"], "left_anti").repartition("path")
+    tasks = _tasks(paths)
+    new = _stamped(paths, tasks).where("stamp IS NOT NULL").join(known, ["path", "stamp"], "left_anti").repartition(tasks, "path")
     schema = pa.schema([("path", pa.string()), ("stamp", pa.string()), ("height", pa.int64()), ("width", pa.int64()), ("num_frames", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +204,5 @@ def write_depths(rows: DataFrame, folder: str) -> None:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    rows.select("name", "num_frames", "height", "width").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    rows = rows.select("name", "num_frames", "height", "width")
+    rows.repartition(_tasks(rows), "name").mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -91,3 +91,14 @@ def test_manifest_sizes_come_first_and_probing_can_be_left_out(spark, tmp_path):
     assert got == {"told": (10, 20, 30, True, True, 4), "half told": (2, 2, 8, False, True, 1), "untold": (2, 2, 8, False, True, 1)}
     assert probes.frame_counts(scenes.limit(0), store, 7, manifest).count() == 0
     assert probes.frame_counts(scenes, store, 7).where("num_frames = 8").count() == 3
+
+
+def test_files_are_asked_for_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Names are few bytes, by which Spark would put all of them into one task."""
+    monkeypatch.setattr(probes, "FILES", 4, raising=False)
+    paths = [str(tmp_path / f"{k}.npz") for k in range(40)]
+    for path in paths[::2]:
+        archive(path, (3, 2, 2))
+    rows = probes._stamped(spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1))
+    assert rows.rdd.getNumPartitions() == 10
+    assert {r.path for r in rows.where("stamp IS NOT NULL").collect()} == set(paths[::2])
