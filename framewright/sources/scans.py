@@ -15,6 +15,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes that one read of a file asks for at most; a member is read in one go.
 MOST = 1 << 31
+#: Bytes of ranges that a task hands on at once.
+PIECE = 4 << 20
 
 
 def _records(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
@@ -111,26 +113,34 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
-def read_ranges(ranges: DataFrame) -> DataFrame:
-    """ranges: path, offset, size, and what else there is. Adds content: these bytes of that file. A range that is empty, or reaches beyond the file, is an error that names it.
-
-    Ranges of a file are read in order of offset by the tasks that hold them, each file opened once a batch; nothing else of the file is read."""
-    schema = StructType([*ranges.schema.fields, StructField("content", BinaryType())])
-    names = ranges.columns
+def ranged(names: list[str], most: int = PIECE):
+    """What read_ranges does in a task: batches with these columns in, in pieces of about so many bytes of content (or one range) out, so that a task holds no more of it than that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, file = None, None
         for batch in batches:
-            content = []
-            for path, offset, size in zip(*(batch.column(names.index(c)).to_pylist() for c in ("path", "offset", "size"))):
+            content, held, begin = [], 0, 0
+            piece = lambda end: pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, pa.array(content, pa.binary())], names=[*names, "content"])  # noqa: B023, E731
+            for k, (path, offset, size) in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in ("path", "offset", "size")))):
                 if path != at:
                     at, file = path, _open(path)
                 if offset is None or size is None or offset < 0 or size <= 0 or size > MOST or offset + size > file.size():
                     raise ValueError(f"{path}: no bytes {offset} to {offset} + {size} of {file.size()}")
+                if content and held + size > most:
+                    yield piece(k)
+                    content, held, begin = [], 0, k
                 content.append(file.read_at(size, offset))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], names=[*names, "content"])
+                held += size
+            yield piece(batch.num_rows)
+
+    return run
 
-    return ranges.mapInArrow(run, schema)
+
+def read_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges: path, offset, size, and what else there is. Adds content: these bytes of that file. A range that is empty, or reaches beyond the file, is an error that names it.
+
+    Ranges of a file are read in order of offset by the tasks that hold them, each file opened once a batch; nothing else of the file is read."""
+    return ranges.mapInArrow(ranged(ranges.columns), StructType([*ranges.schema.fields, StructField("content", BinaryType())]))
 
 
 def read_members(index: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.sources.scans import _create, _open, read_ranges
+from framewright.sources.scans import PIECE, _create, _open, ranged
 
 #: What an index holds for a chunk that isn't there, the polynomial of an index's checksum, and its bytes.
 ABSENT, CASTAGNOLI, CHECK = 2**64 - 1, 0x82F63B78, 4
+#: Rows that are Python objects at once while frames are written.
+ROWS = 64
 
 
 def crc32c(data: bytes) -> int:
@@ -141,23 +143,38 @@ def read_zarr_frames(arrays: DataFrame, wanted: DataFrame | None = None) -> Data
         ranges = ranges.join(chunks.select(F.col("path").alias("array"), "chunk").distinct(), ["array", "chunk"], "left_semi")
     absent = F.raise_error(F.concat("array", F.lit(": no chunk "), F.col("chunk").cast("string"))).cast("long")
     ranges = ranges.withColumn("size", F.coalesce("size", absent)).repartition(F.col("path"), F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("path", "offset")
+    ranges = ranges.select("array", "chunk", "n", "per_chunk", "path", "offset", "size")
+    read = ranged(ranges.columns)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for array, chunk, n, per_chunk, data in zip(*(batch.column(c).to_pylist() for c in ("array", "chunk", "n", "per_chunk", "content"))):
+        # read and decoded in one go: chunks don't leave the task in between, and no more frames than PIECE bytes (or one chunk) are held
+        for batch in read(batches):
+            arrays, numbers, contents, held = [], [], [], 0
+            for array, chunk, n, per_chunk, data in zip(*(batch.column(c) for c in ("array", "chunk", "n", "per_chunk", "content"))):
+                array, chunk, n, per_chunk = array.as_py(), chunk.as_py(), n.as_py(), per_chunk.as_py()
                 try:
-                    found = elements(data)[:n]
+                    found = elements(data.as_py())[:n]
                     if len(found) < n:
                         raise ValueError(f"{len(found)} frames where {n} were due")
                 except Exception as fault:
                     raise ValueError(f"{array}, chunk {chunk}: {fault}") from fault
-                frames = np.arange(chunk * per_chunk, chunk * per_chunk + n)
-                yield pa.RecordBatch.from_arrays([pa.array([array] * n, pa.string()), pa.array(frames), pa.array(found, pa.binary())], names=["path", "frame", "content"])
-
-    found = read_ranges(ranges.select("array", "chunk", "n", "per_chunk", "path", "offset", "size")).mapInArrow(decoded, "path string, frame long, content binary")
+                arrays += [array] * n
+                numbers += range(chunk * per_chunk, chunk * per_chunk + n)
+                contents += found
+                held += sum(map(len, found))
+                if held > PIECE:
+                    yield _frames(arrays, numbers, contents)
+                    arrays, numbers, contents, held = [], [], [], 0
+            yield _frames(arrays, numbers, contents)
+
+    found = ranges.mapInArrow(decoded, "path string, frame long, content binary")
     return found if wanted is None else found.join(frames.select("path", "frame"), ["path", "frame"], "left_semi")
 
 
+def _frames(arrays: list[str], numbers: list[int], contents: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(arrays, pa.string()), pa.array(numbers, pa.int64()), pa.array(contents, pa.binary())], names=["path", "frame", "content"])
+
+
 def write_zarr_frames(rows: DataFrame, per_shard: int, per_chunk: int = 1) -> None:
     """rows: path, frame, content. An array a path, its frames numbered from 0 without gaps (else an error). A task writes whole shards, one after the other, and holds one chunk and its shard's index;
     one that runs again writes the same. An array's record is written last."""
@@ -188,7 +205,7 @@ def write_zarr_frames(rows: DataFrame, per_shard: int, per_chunk: int = 1) -> No
 
         done = []
         for batch in batches:
-            for path, frame, content, shard in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, frame, content, shard in (row for k in range(0, batch.num_rows, ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(k, ROWS).columns))):
                 if (path, shard) != at:
                     if out:
                         end_shard()

@@ -68,3 +68,18 @@ def test_faulty_shards_are_errors(spark, tmp_path):
     for key, value in {"node_type": "group", "data_type": "int8", "shape": [2, 2], "codecs": [{"name": "bytes"}]}.items():
         with pytest.raises(ValueError):
             zarr.layout({**record, key: value})
+
+
+def test_a_task_holds_pieces_of_its_ranges(tmp_path):
+    """A batch of ranges is handed on in pieces of so many bytes, and was in one before."""
+    import pyarrow as pa
+    from framewright.sources import scans
+
+    (tmp_path / "f").write_bytes(bytes(range(100)))
+    sizes = [10, 10, 10, 40, 5, 5, 20]
+    offsets = [sum(sizes[:k]) for k in range(len(sizes))]
+    batch = pa.RecordBatch.from_pydict({"path": [str(tmp_path / "f")] * 7, "offset": offsets, "size": sizes})
+    got = list(scans.ranged(["path", "offset", "size"], 25)(iter([batch, batch.slice(0, 0)])))
+    assert [b.column("size").to_pylist() for b in got] == [[10, 10], [10], [40], [5, 5], [20], []]
+    assert b"".join(c for b in got for c in b.column("content").to_pylist()) == bytes(range(100))
+    assert [c for b in got for c in b.column("offset").to_pylist()] == offsets
