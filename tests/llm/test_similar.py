@@ -153,3 +153,56 @@ def test_a_pair_meets_at_one_anchor_of_a_part(spark):
         for near in (at[w ^ 1 << bit] for bit in range(WORD)):
             assert sum(at[w][a] or near[a] for a in at[w].keys() & near.keys()) == 1
     assert len(at) == 1 << WORD and sum(map(len, at.values())) * len(band_places(10**5, 0.8, WORD)) <= 107 * len(at)
+
+
+def crowd(n, seed, most=9):
+    """Copies of one text with more and less of it changed: some are similar to many, some to none."""
+    r = random.Random(seed)
+    for i in range(n):
+        words = [f"word{k}" for k in range(150)]
+        for at in r.sample(range(150), r.randint(0, most)):
+            words[at] = f"new{i}x{at}"
+        yield " ".join(words)
+
+
+def rows_of(monkeypatch):
+    """Rows of each table that the settling of links writes."""
+    made, write = {}, meeting.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(meeting, "written", counted)
+    return made
+
+
+@pytest.mark.parametrize("n", [100, 200])
+def test_a_crowd_with_open_pairs_is_brought_to_one_place(table, monkeypatch, n):
+    """A row a set, at any size of the crowd; a row for each of its bands before, some 30."""
+    made = rows_of(monkeypatch)
+    kept = without_similar(table([(i, t, "a") for i, t in enumerate(crowd(n, 4))])).count()
+    assert 1 < kept < n and 0 < made["meeting-needed"] <= n and made["meeting-members"] <= n
+
+
+def test_crowds_in_parts_and_by_bands_settle_alike(table, monkeypatch):
+    texts = [*crowd(150, 5), *(" ".join(f"t{k}" for k in range(s, s + 40)) for s in range(0, 60, 3))]
+    docs, found = table([(i, t, "a") for i, t in enumerate(texts)]), []
+    made = rows_of(monkeypatch)
+    for block, parts in ((20, 32), (20, 2)):
+        made.clear()
+        monkeypatch.setattr(meeting, "BLOCK", block)
+        monkeypatch.setattr(meeting, "PARTS", parts)
+        found.append(({r.doc_id for r in without_similar(docs).collect()}, "meeting-vast" in made))
+    assert found[0][0] == found[1][0] and [vast for _, vast in found] == [False, True]
+
+
+def test_chains_of_pairs_are_whole(spark, monkeypatch):
+    """Pairs of a task are joined; of more than it may hold, some forests come out, which join the same."""
+    pairs = [(i, i - 2) for i in range(2, 400)] + [(1001, 1000)] * 3
+    for chained in (1 << 20, 50):
+        monkeypatch.setattr(meeting, "CHAINED", chained)
+        near = spark.createDataFrame(pairs, "set long, pivot long").repartition(3)
+        of = {r.set: r.crowd for r in meeting.crowds(near).collect()}
+        assert of == {i: i % 2 for i in range(400)} | {1000: 1000, 1001: 1000}
